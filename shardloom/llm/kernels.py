@@ -71,21 +71,40 @@ def chunks(column, size: int = CHUNK_BYTES):
         lo = hi
 
 
-def tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, hashes): the tokens of row i are hashes[bounds[i]:bounds[i + 1]]."""
-    if not len(raw):
-        return np.zeros(len(offsets), np.int64), np.zeros(0, U64)
+def spans(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts and ends of all tokens, running hash sums of the bytes)."""
     word = WORD[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1] | edge[1:-1]
     ends[:-1] &= ~word[1:] | edge[1:-1]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = prefix(raw.astype(U64) + U64(1))
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1, prefix(raw.astype(U64) + U64(1))
+
+
+def tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes): the tokens of row i are hashes[bounds[i]:bounds[i + 1]]."""
+    if not len(raw):
+        return np.zeros(len(offsets), np.int64), np.zeros(0, U64)
+    starts, stops, sums = spans(offsets, raw)
     return np.searchsorted(starts, offsets), mix((sums[stops] - sums[starts]) * powers(len(raw))[1][starts])
 
 
+def tokens_and_prefixes(offsets: np.ndarray, raw: np.ndarray, sizes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tokens(), and (rows, hashes) of the first ``sizes`` bytes of every longer token."""
+    if not len(raw):
+        none = np.zeros(0, U64)
+        return np.zeros(len(offsets), np.int64), none, np.zeros(0, np.int64), none
+    starts, stops, sums = spans(offsets, raw)
+    bounds, down = np.searchsorted(starts, offsets), powers(len(raw))[1]
+    rows, of, found = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), [], []
+    for size in sizes:
+        at = np.flatnonzero(stops - starts > size)
+        of.append(rows[at])
+        found.append(mix((sums[starts[at] + size] - sums[starts[at]]) * down[starts[at]] + U64(size << 40)))
+    return bounds, mix((sums[stops] - sums[starts]) * down[starts]), np.concatenate(of), np.concatenate(found)
+
+
 def grams(bounds: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the windows of n tokens that lie within one row."""
     if len(hashes) < n:

@@ -1,9 +1,10 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled clean (quality 1, toxic 0); unlabelled
-are the documents without a label.  A linear model on indicator tokens (far more
-frequent in unlabelled documents than in positives) and on the shape of the text
-(binned at the quantiles of the positives) minimises the non-negative unbiased risk
+are the documents without a label.  A linear model on indicators (tokens and
+beginnings of tokens that are far more frequent in unlabelled documents than in
+positives) and on the shape of the text (binned at the quantiles of the
+positives) minimises the non-negative unbiased risk
 
     pi R_p(+) + max(0, R_u(-) - pi R_p(-))
 
@@ -36,9 +37,10 @@ from . import kernels
 from .kernels import U64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
-SAMPLE = 4000
+SAMPLE = 8000
 VOCABULARY = 512
 MIN_Z = 4.5
+PREFIXES = (6, 7, 8)  # bytes of a token's beginning
 QUANTILES = [0.005, 0.05, 0.25, 0.75, 0.95, 0.995, 1.0]
 BINS = len(QUANTILES) + 1
 MIN_POSITIVES = 20
@@ -55,12 +57,12 @@ for _i, _c in enumerate(CLASSES):
 
 
 def features(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds and values of each row's distinct tokens, a row of shape numbers for each row)."""
+    """(rows and hashes of all tokens and of their beginnings, a row of shape numbers for each row)."""
     n = len(offsets) - 1
-    bounds, hashes = kernels.tokens(offsets, LOWER[raw] if len(raw) else raw)
+    bounds, hashes, begin_rows, begins = kernels.tokens_and_prefixes(offsets, LOWER[raw] if len(raw) else raw, PREFIXES)
     count, size = np.diff(bounds), np.maximum(1, np.diff(offsets))
     rows = np.repeat(np.arange(n), count)
-    set_bounds, values = kernels.row_sets(rows, hashes, n)
+    set_bounds, _ = kernels.row_sets(rows, hashes, n)
     byte_row = np.repeat(np.arange(n), np.diff(offsets))
     classes = np.bincount(byte_row * 8 + CLASS_OF[raw], minlength=8 * n).reshape(n, 8)[:, 1:]
     again = np.zeros(n)
@@ -69,15 +71,56 @@ def features(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
         again = np.bincount(rows[1:][same], minlength=n)
     per = np.maximum(1, count)
     shape = np.column_stack([classes / size[:, None], classes[:, 3:6] / per[:, None], again / per, np.diff(set_bounds) / np.sqrt(per), size / per, np.log2(size)])
-    return set_bounds, values, shape
+    return np.concatenate([rows, begin_rows]), np.concatenate([hashes, begins]), shape
 
 
-def sample_batches(batches):
+def found_words(words: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place in words) of every distinct word of a row; words are sorted."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.zeros(1 << 16, bool)
+    first[(words >> U64(48)).astype(np.int64)] = True
+    maybe = np.flatnonzero(first[(values >> U64(48)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(words, values[maybe]), len(words) - 1)
+    hit = words[at] == values[maybe]
+    pairs = np.unique(rows[maybe[hit]] * len(words) + at[hit])
+    return pairs // len(words), pairs % len(words)
+
+
+def word_batches(batches):
+    """(positive, word) of every distinct word of every sampled row; a row of word 0 for each row, to count them."""
     for batch in batches:
+        positive = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool)
         for lo, hi, offsets, raw in kernels.chunks(batch.column(1)):
-            bounds, values, shape = features(offsets, raw)
-            tokens = [values[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(tokens, pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())], names=["positive", "tokens", "shape"])
+            rows, values, _ = features(offsets, raw)
+            order = np.argsort(rows, kind="stable")
+            bounds, values = kernels.row_sets(rows[order], values[order], hi - lo)
+            flag = np.concatenate([np.repeat(positive[lo:hi], np.diff(bounds)), positive[lo:hi]])
+            yield pa.RecordBatch.from_arrays([pa.array(flag), pa.array(np.concatenate([values, np.zeros(hi - lo, U64)]).view(np.int64))], names=["positive", "word"])
+
+
+def sample_batches(words: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, offsets, raw in kernels.chunks(batch.column(1)):
+                rows, values, shape = features(offsets, raw)
+                row, at = found_words(words, rows, values)
+                flags = np.zeros((hi - lo, len(words)), bool)
+                flags[row, at] = True
+                packed = np.packbits(flags, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array([x.tobytes() for x in shape], pa.binary())], names=["positive", "words", "shape"])
+
+    return run
+
+
+def indicators(rows: DataFrame) -> np.ndarray:
+    """Of the words of rows(positive, t), those that the unlabelled have far more often: only such a word can speak against a document."""
+    counts = rows.mapInArrow(word_batches, "positive boolean, word long").groupBy("word").agg(F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("u"))
+    n = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")).first()
+    share = (F.col("p") + F.col("u") + 1) / F.lit(float(n.p + n.u + 2))
+    contrast = (F.col("u") / n.u - F.col("p") / n.p) / F.sqrt(share * (1 - share) * F.lit(1 / n.p + 1 / n.u))
+    best = counts.where("word <> 0").withColumn("z", contrast).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word").toArrow()
+    return np.sort(best.column("word").to_numpy().view(U64))
 
 
 def one_hot(shape: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -95,7 +138,7 @@ def descend(gradient, size: int, steps: int = STEPS) -> np.ndarray:
     """Adam on a full-batch gradient."""
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
-        g = gradient(w)
+        g = gradient(w.astype(np.float32)).astype(np.float64)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - 0.05 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -148,48 +191,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(list(picked.items()), "i long, positive boolean"))  # at most 2 * sample rows
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).join(small, "i").select("positive", "t")
-    got = rows.where(F.length(F.trim("t")) > 0).mapInArrow(sample_batches, "positive boolean, tokens binary, shape binary").toArrow()
-    positive = np.array(got.column("positive").to_pylist(), bool)
-    if positive.sum() < MIN_POSITIVES or positive.all():
+    rows = rows.where(F.col("t").rlike(r"\S"))
+    some = rows.groupBy("positive").count().collect()
+    if sum(r["count"] for r in some if r["positive"]) < MIN_POSITIVES or len(some) < 2:
         return None
-    shapes, token_sets = got.column("shape").to_pylist(), got.column("tokens").to_pylist()
-    order = sorted(range(len(positive)), key=lambda i: (shapes[i], token_sets[i]))  # the same sums whatever the order of the tasks
-    positive = positive[order]
-    sets = [np.frombuffer(token_sets[i], U64) for i in order]
+    words = indicators(rows)
+    got = rows.mapInArrow(sample_batches(words), "positive boolean, words binary, shape binary").toArrow()
+    shapes, flags = got.column("shape").to_pylist(), got.column("words").to_pylist()
+    order = sorted(range(len(shapes)), key=lambda i: (shapes[i], flags[i]))  # the same sums whatever the order of the tasks
+    positive = np.array(got.column("positive").to_pylist(), bool)[order]
     shape = np.array([np.frombuffer(shapes[i]) for i in order])
-    rows_of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    words, at = np.unique(np.concatenate(sets), return_inverse=True)
-    in_p, in_u = np.bincount(at[positive[rows_of]], minlength=len(words)), np.bincount(at[~positive[rows_of]], minlength=len(words))
-    n_p, n_u = positive.sum(), (~positive).sum()
-    share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    # Only a token that the unlabelled have far more often can speak against a document.
-    contrast = (in_u / n_u - in_p / n_p) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    best = np.lexsort((words, -contrast))[:VOCABULARY]
-    best = np.sort(best[contrast[best] >= MIN_Z])
-    slot = np.full(len(words), -1)
-    slot[best] = np.arange(len(best))
+    flags = np.array([np.unpackbits(np.frombuffer(flags[i], np.uint8), count=len(words)) for i in order]).reshape(len(order), len(words))
     cuts = np.quantile(shape[positive], QUANTILES, axis=0).T
-    x = np.zeros((len(sets), len(best) + shape.shape[1] * BINS + 2), np.float32)
-    hit = slot[at] >= 0
-    x[rows_of[hit], slot[at[hit]]] = 1
-    x[rows_of[hit], -2] = 1
-    x[:, len(best) : -2] = one_hot(shape, cuts)
-    x[:, -1] = 1
+    x = np.concatenate([flags, one_hot(shape, cuts), flags.any(axis=1)[:, None], np.ones((len(order), 1))], axis=1, dtype=np.float32)
     prior = estimate_prior(x[positive], x[~positive])
     w = nn_pu(x[positive], x[~positive], prior)
-    return {"words": words[best], "w": w[: len(best)], "shape": w[len(best) : -2], "any": w[-2], "bias": w[-1], "cuts": cuts, "prior": prior}
+    return {"words": words, "w": w[: len(words)], "shape": w[len(words) : -2], "any": w[-2], "bias": w[-1], "cuts": cuts, "prior": prior}
 
 
 def scores(model: dict, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    bounds, values, shape = features(offsets, raw)
-    if len(model["words"]):
-        at = np.minimum(np.searchsorted(model["words"], values), len(model["words"]) - 1)
-        hit = model["words"][at] == values
-    else:
-        at, hit = np.zeros(len(values), int), np.zeros(len(values), bool)
-    rows = kernels.row_of(bounds, np.flatnonzero(hit))
-    told = np.bincount(rows, minlength=len(offsets) - 1) > 0
-    return np.bincount(rows, model["w"][at[hit]], len(offsets) - 1) + model["any"] * told + one_hot(shape, model["cuts"]) @ model["shape"] + model["bias"]
+    rows, values, shape = features(offsets, raw)
+    row, at = found_words(model["words"], rows, values)
+    told = np.bincount(row, minlength=len(offsets) - 1) > 0
+    return np.bincount(row, model["w"][at], len(offsets) - 1) + model["any"] * told + one_hot(shape, model["cuts"]) @ model["shape"] + model["bias"]
 
 
 def scorer(model: dict):

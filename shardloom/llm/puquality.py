@@ -17,7 +17,7 @@ The model alone is fitted on bounded samples: ``sample`` positives and
 ``sample`` unlabelled rows, those with the smallest hash of the identifier.
 Every document is scored on its whole text.
 
-Defined results: a null or blank text is rejected with a null score; documents
+Defined results: a null or blank text is rejected; documents
 with a null identifier are scored like others; repeated rows get equal scores;
 with fewer than ``MIN_POSITIVES`` positives, or no unlabelled rows, nothing is
 known and every document with text is kept with a null score; an empty table
@@ -216,33 +216,53 @@ def scores(model: dict, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.bincount(row, model["w"][at], len(offsets) - 1) + model["any"] * told + one_hot(shape, model["cuts"]) @ model["shape"] + model["bias"]
 
 
+def row_scores(model: dict, column) -> np.ndarray:
+    """The score of every row, NaN for one that says nothing."""
+    out = np.full(len(column), np.nan)
+    for lo, hi, offsets, raw in kernels.chunks(column):
+        out[lo:hi] = np.round(scores(model, offsets, raw), 9)
+    return out
+
+
 def scorer(model: dict):
-    @F.pandas_udf("double")
-    def score(texts):
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        import pandas as pd
+    def run(batches):
+        for batch in batches:
+            score = row_scores(model, batch.column(1))
+            keep = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool) & (score >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"]).filter(pa.array(keep))
 
-        parts = [scores(model, offsets, raw) for _, _, offsets, raw in kernels.chunks(column)]
-        return pd.Series(np.round(np.concatenate(parts), 9) if parts else np.zeros(0))
+    return run
 
-    return score
 
+def keeper(model: dict, text_at: int):
+    """Passes on the rows that the model keeps; the last column says which have a text."""
 
-def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """docs with __score (positive for clean) and __keep."""
-    model = fit(docs, labels, id_col, text_col, sample)
-    some = F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
-    if model is None:
-        return docs.withColumn("__score", F.lit(None).cast("double")).withColumn("__keep", some)
-    scored = docs.withColumn("__raw", scorer(model)(F.col(text_col)))
-    return scored.withColumn("__score", F.when(some, F.col("__raw"))).drop("__raw").withColumn("__keep", F.coalesce(F.col("__score") >= 0, F.lit(False)))
+    def run(batches):
+        for batch in batches:
+            some = np.asarray(batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), bool)
+            keep = some & (row_scores(model, batch.column(text_at)) >= 0)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+
+    return run
+
+
+def has_text(text_col: str):
+    return F.coalesce(F.col(f"`{text_col}`").rlike(r"\S"), F.lit(False))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score) of the documents that the classifier keeps."""
-    return with_score(docs, labels, id_col, text_col, sample).where("__keep").select(F.col(id_col).alias("doc_id"), F.col("__score").alias("score"))
+    """(doc_id, score) of the documents that the classifier keeps; scores are positive for clean ones."""
+    model = fit(docs, labels, id_col, text_col, sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), has_text(text_col).alias("some"))
+    if model is None:
+        return rows.where("some").select("doc_id", F.lit(None).cast("double").alias("score"))
+    return rows.mapInArrow(scorer(model), "doc_id long, score double")
 
 
-def quality_stage(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rejected rows."""
-    return with_score(docs, labels, **options).where("__keep").drop("__score", "__keep")
+def quality_stage(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """docs without the rejected rows, in one pass that adds no column under a name that docs could have."""
+    model = fit(docs, labels, id_col, text_col, sample)
+    if model is None:
+        return docs.where(has_text(text_col))
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], has_text(text_col).alias("__some__" + "_".join(docs.columns)))
+    return marked.mapInArrow(keeper(model, docs.columns.index(text_col)), docs.schema)

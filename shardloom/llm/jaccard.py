@@ -14,6 +14,10 @@ neighbourhoods: each spends two differences (equal, or equal after one deletion
 on either side), and the allocation of H between the two kinds is the one with
 the least expected cost.  Candidate pairs are verified exactly on whole texts.
 
+A parity sketch of each set bounds the symmetric difference of a candidate pair
+from below (a bit differs only if an odd number of grams does), so most
+unrelated candidates go before any text moves, and no pair of the result can.
+
 Equal sets are one node, so thousands of copies cost one signature.  The result
 factors the join: pairs of representatives (the smallest identifier of a set)
 with their similarity, and (representative, member, 1.0) for equal sets; all
@@ -47,6 +51,8 @@ SLACK = 1.3  # segments for each one that is indexed
 COST_BUCKETS = 65536
 BLOCK = 512
 COMMON = 0.05  # chance that two unrelated documents agree on a token, for the allocation
+BROADCAST_ROWS = 1_000_000  # keys of 16 bytes; more are joined by a shuffle
+SKETCH_SHIFT = 20
 SIGNATURE_COST = 2e-3  # of a signature row, against a candidate
 
 
@@ -179,18 +185,70 @@ def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands:
     return np.concatenate(rows_out), np.concatenate(sigs_out)
 
 
+def sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
+    """Of each row the parity of its grams in a power of two of bits, at least half as many as it has grams and 64."""
+    size = np.diff(bounds)
+    bits = 64 << np.ceil(np.log2(np.maximum(1, size / 128))).astype(np.int64)
+    begin = np.r_[0, np.cumsum(bits)]
+    row = np.repeat(np.arange(len(size)), size)
+    place = begin[row] + ((values >> U64(SKETCH_SHIFT)) & (bits[row] - 1).astype(U64)).astype(np.int64)
+    packed = np.packbits((np.bincount(place, minlength=begin[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[begin[i] >> 3 : begin[i + 1] >> 3] for i in range(len(size))]
+
+
+def set_batches(n: int):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, offsets, raw in kernels.chunks(batch.column(2)):
+                bounds, values = gram_sets(offsets, raw, n)
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(set_ids(bounds, values).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(bounds, values), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "sid", "size", "sketch"]).filter(pa.array(np.diff(bounds) > 0))
+
+    return run
+
+
 def signature_batches(n: int, threshold: float, rare):
     def run(batches):
         bands, costs = Bands(threshold), rare.value
         for batch in batches:
-            for lo, hi, offsets, raw in kernels.chunks(batch.column(2)):
+            for _, _, offsets, raw in kernels.chunks(batch.column(0)):
                 bounds, values = gram_sets(offsets, raw, n)
                 row, sig = signatures(bounds, values, costs, bands)
                 order = np.argsort(row, kind="stable")
-                cut = np.searchsorted(row[order], np.arange(hi - lo + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(sig[order].view(np.int64)))
-                sizes = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(set_ids(bounds, values).view(np.int64)), pa.array(sizes.astype(np.int32)), lists], names=["doc_id", "k", "sid", "size", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(bounds, values)[row[order]].view(np.int64)), pa.array(sig[order].view(np.int64))], names=["sid", "sig"])
+
+    return run
+
+
+def matrix(column) -> np.ndarray:
+    """The cells of a binary column, all of one length, as rows of 64-bit numbers."""
+    cells = column.to_pylist()
+    return np.frombuffer(b"".join(cells), U64).reshape(len(cells), -1)
+
+
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def near_enough(threshold: float):
+    """Drops the pairs whose sizes or sketches exclude the threshold."""
+
+    def run(batches):
+        bands = Bands(threshold)
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            keep = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
+            lengths = [np.array([len(x) for x in batch.column(i).to_pylist()], np.int64) for i in (4, 5)]
+            for both in np.unique(lengths[0][keep] << 32 | lengths[1][keep]):
+                at = np.flatnonzero(keep & (lengths[0] == both >> 32) & (lengths[1] == both & 0xFFFFFFFF))
+                left, right = (matrix(batch.column(i).take(pa.array(at))) for i in (4, 5))
+                width = min(left.shape[1], right.shape[1])
+                differ = np.bitwise_count(folded(left, width) ^ folded(right, width)).sum(axis=1, dtype=np.int64)
+                keep[at] = differ <= bands.differences(a[at] + b[at])
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -229,12 +287,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared_folder(spark)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.lower(text_col).alias("text"))
     rare = spark.sparkContext.broadcast(rarity(rows, n))
-    indexed = rows.mapInArrow(signature_batches(n, threshold, rare), "doc_id long, k long, sid long, size int, sigs array<long>").where("size > 0").checkpoint()
-    sets = indexed.select("doc_id", "k", "sid")
-    posts = indexed.select("sid", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.collect_set("sid").alias("sids")).where("size(sids) > 1")
+    sets = rows.mapInArrow(set_batches(n), "doc_id long, k long, sid long, size int, sketch binary").checkpoint()
+    signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sig long")
+    posts = signed.groupBy("sig").agg(F.collect_set("sid").alias("sids")).where("size(sids) > 1")
     # The same sets meet under many signatures: each list of sets is expanded once.
     lists = posts.select(F.array_sort("sids").alias("sids")).distinct()
-    pairs = lists.select("sids", F.posexplode("sids").alias("at", "a")).select("a", F.explode(F.slice("sids", F.col("at") + 2, F.size("sids"))).alias("b")).distinct().checkpoint()
+    pairs = lists.select("sids", F.posexplode("sids").alias("at", "a")).select("a", F.explode(F.slice("sids", F.col("at") + 2, F.size("sids"))).alias("b")).distinct()
+    known = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    side = lambda x: known.select(F.col("sid").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    described = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    pairs = described.mapInArrow(near_enough(threshold), "a long, b long").checkpoint()
     # Partners get the least of their neighbours as block, so the texts of a group travel to one place once.
     both = pairs.select(F.col("a").alias("sid"), F.least("a", "b").alias("near")).unionByName(pairs.select(F.col("b").alias("sid"), F.least("a", "b").alias("near")))
     block = both.groupBy("sid").agg(F.min("near").alias("block"))
@@ -246,10 +308,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = placed.select(F.explode(F.array(*[F.struct(F.col("place").alias("spot"), F.col(x).alias("sid")) for x in "ab"])).alias("w")).select("w.spot", "w.sid").distinct()
     source = sets.groupBy("sid").agg(F.min(F.struct("k", "doc_id")).alias("one")).select("sid", "one.k", F.col("one.doc_id").alias("s_id"))
     source = source.join(wanted.select("sid").distinct(), "sid", "left_semi").withColumnRenamed("k", "s_k")
+    source = F.broadcast(source) if wanted.select("sid").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else source
     texts = rows.join(source, (rows.k == source.s_k) & rows.doc_id.eqNullSafe(source.s_id)).select("sid", "text")
     texts = wanted.join(texts, "sid")
     good = placed.groupBy("place").cogroup(texts.groupBy("spot")).applyInArrow(verifier(n, threshold), "a long, b long, similarity double")
-    return sets, good
+    return sets.select("doc_id", "k", "sid"), good
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, chat, exact, jaccard, lm, mixing, packing, puquality, sstable, substring
+from . import canonical, chat, exact, jaccard, mixing, packing, puquality, sstable, substring, tokenlm
 from .common import table
 
 
@@ -18,7 +18,7 @@ def queries() -> dict:
         "op7_jaccard": lambda s, d: jaccard.join(docs(s, d)),
         "op8_exact": lambda s, d: exact.exact_duplicates(docs(s, d)),
         "op9_substring": lambda s, d: substring.repeats(docs(s, d)),
-        "op10_lm": lambda s, d: lm.score(docs(s, d)),
+        "op10_lm": lambda s, d: tokenlm.score(docs(s, d)),
     }
 
 

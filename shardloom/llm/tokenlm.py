@@ -1,0 +1,203 @@
+"""Language-model scoring by deleted interpolation over token 4-grams of an open vocabulary.
+
+A text is cut into tokens without loss: a run of letters, digits and non-ASCII
+characters together with one space before it, or any other single byte; case is
+kept.  Three start tokens precede it.  The 4-grams of every document are counted
+in Spark, and counts of lower orders and of contexts are sums of them.  All count
+tables stay distributed and grow with the corpus; only the weights and two totals
+reach the driver.
+
+The probability of a token mixes the maximum-likelihood estimates of orders 4, 3,
+2, 1 and the uniform one over the corpus's vocabulary.  The weights depend on the
+bucket of the context's frequency and are learned by expectation-maximisation on
+the held-out documents' counts, as in lm.  Estimates use the other documents.
+Tokens are compared by 64-bit hashes.
+
+Defined results: null and empty texts have 0 symbols and null scores; a null
+identifier falls in the held-out part or not like any other; repeated rows count
+and are scored each time; if a part is empty the whole serves for both; an empty
+table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import sys
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
+
+from . import kernels
+from .common import partitions, row_key, shared_folder
+from .kernels import U64
+from .lm import BUCKETS, HELD_OUT, ORDER, ROUNDS
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+START = U64(1)
+NAMES = [f"t{i}" for i in range(1, ORDER + 1)]
+PARTS = [f"p{i}" for i in range(ORDER + 1)]  # estimates by order, the uniform one first
+
+
+def tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, hashes) of all tokens; they cover every byte."""
+    if not len(raw):
+        return np.zeros(len(offsets), np.int64), np.zeros(0, U64)
+    word, edge = kernels.WORD[raw], np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    begins = np.ones(len(raw), bool)
+    begins[1:] = ~(word[1:] & (word[:-1] | (raw[:-1] == 32))) | edge[1:-1]
+    starts, sums = np.flatnonzero(begins), kernels.prefix(raw.astype(U64) + U64(1))
+    stops = np.r_[starts[1:], len(raw)]
+    return np.searchsorted(starts, offsets), kernels.mix((sums[stops] - sums[starts]) * kernels.powers(len(raw))[1][starts])
+
+
+def histories(bounds: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """The tokens ORDER - 1, ..., 1, 0 places back of each token."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = []
+    for back in range(ORDER - 1, -1, -1):
+        before = np.full(len(hashes), START)
+        before[back:] = hashes[: len(hashes) - back]
+        before[place < back] = START
+        out.append(before)
+    return out
+
+
+def names(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of each 4-gram."""
+    out = np.zeros(len(columns[0]), U64)
+    for c in columns:
+        out = kernels.mix(out * kernels.BASE + c)
+    return out
+
+
+def gram_batches(batches):
+    for batch in batches:
+        held = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool)
+        for lo, hi, offsets, raw in kernels.chunks(batch.column(1)):
+            bounds, hashes = tokens(offsets, raw)
+            grams = histories(bounds, hashes)
+            gram, flag = names(grams), np.repeat(held[lo:hi], np.diff(bounds))
+            _, first, at = np.unique(gram, return_index=True, return_inverse=True)
+            counts = [np.bincount(at[flag == part], minlength=len(first)).astype(np.int64) for part in (False, True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first].view(np.int64)), *(pa.array(g[first].view(np.int64)) for g in grams), *map(pa.array, counts)], names=["gram", *NAMES, "train", "test"])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df by way of compressed files in the shared folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tokenlm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def estimates(grams: DataFrame, order: int, total: int) -> DataFrame:
+    """grams (last ``order`` of NAMES, train, ...) with the estimates p1.. of each order and ``seen``, the context's count."""
+    keys = NAMES[ORDER - order :]
+    if order == 1:
+        return grams.withColumn("p1", F.col("train") / F.lit(float(total))).withColumn("seen", F.lit(total))
+    context = grams.groupBy(*keys[:-1]).agg(F.sum("train").alias("seen"))
+    lower = estimates(grams.groupBy(*keys[1:]).agg(F.sum("train").alias("train")), order - 1, total).drop("train", "seen")
+    return grams.join(context, keys[:-1]).join(lower, keys[1:]).withColumn(f"p{order}", F.col("train") / F.greatest("seen", F.lit(1)))
+
+
+def share_batches(weights: np.ndarray):
+    """The expected counts by bucket and order."""
+
+    def run(batches):
+        sums = np.zeros((BUCKETS, ORDER + 1))
+        for batch in batches:
+            bucket, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            share = weights[bucket] * np.stack([batch.column(2 + i).to_numpy() for i in range(ORDER + 1)], axis=1)
+            share *= (n / share.sum(axis=1))[:, None]
+            for k in range(ORDER + 1):
+                sums[:, k] += np.bincount(bucket, share[:, k], BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def learn(held: DataFrame) -> np.ndarray:
+    """Weights [bucket, order] by expectation-maximisation over held (bucket, n, PARTS)."""
+    weights = np.full((BUCKETS, ORDER + 1), 1 / (ORDER + 1))
+    for _ in range(ROUNDS):
+        sums = sum(np.frombuffer(r.sums).reshape(weights.shape) for r in held.mapInArrow(share_batches(weights), "sums binary").collect())
+        total = sums.sum(axis=1, keepdims=True)
+        weights = np.where(total > 0, sums / np.maximum(total, 1e-300), weights)
+    # The uniform part keeps a little weight: no text is impossible.
+    weights = np.maximum(weights, 1e-9)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(gram, log2p) of every 4-gram of the corpus, distributed; None if there is none."""
+    rows = docs.select((F.pmod(F.xxhash64(F.lit(3), F.col(id_col).cast("string")), F.lit(HELD_OUT)) == 0).alias("held"), F.col(text_col).alias("text")).where("length(text) > 0")
+    schema = ", ".join(f"{c} long" for c in ("gram", *NAMES, "train", "test"))
+    grams = stored(rows.mapInArrow(gram_batches, schema).groupBy(*NAMES).agg(F.first("gram").alias("gram"), F.sum("train").alias("train"), F.sum("test").alias("test")))
+    train, test = grams.agg(F.sum("train"), F.sum("test")).first()
+    if train is None:
+        return None
+    if not train or not test:
+        grams, train = grams.withColumn("train", F.col("train") + F.col("test")).withColumn("test", F.col("train")), train + test
+    vocabulary = grams.select(NAMES[-1]).distinct().count()
+    bucket = F.least(F.lit(BUCKETS - 1), F.ceil(F.log2(F.col("seen") + 1))).cast("int")
+    parts = stored(estimates(grams, ORDER, train).select("gram", "test", bucket.alias("bucket"), F.lit(1 / vocabulary).alias("p0"), *PARTS[1:]))
+    weights = learn(stored(parts.where("test > 0").groupBy("bucket", *PARTS).agg(F.sum("test").alias("n")).select("bucket", "n", *PARTS)))
+    mine = F.element_at(F.array(*[F.array(*map(F.lit, w)) for w in weights.tolist()]), F.col("bucket") + 1)
+    return parts.select("gram", F.log2(sum(mine[k] * F.col(PARTS[k]) for k in range(ORDER + 1))).alias("log2p"))
+
+
+def place_batches(places: int):
+    """The 4-grams of a run of documents, by the place where their probabilities are."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, offsets, raw in kernels.chunks(batch.column(2)):
+                bounds, hashes = tokens(offsets, raw)
+                gram, row = names(histories(bounds, hashes)), np.repeat(np.arange(lo, hi, dtype=np.int32), np.diff(bounds))
+                place = gram.view(np.int64) % places
+                order = np.argsort(place, kind="stable")
+                gram, row, place = gram[order], row[order], place[order]
+                cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                for begin, end in zip(cut, np.r_[cut[1:], len(gram)]):
+                    used, at = np.unique(row[begin:end], return_inverse=True)
+                    take = pa.array(used)
+                    cells = [[x.tobytes()] for x in (gram[begin:end], at.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(place[begin])], pa.int32()), pa.array([batch.column(0).take(take).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(1).take(take).to_pylist()], pa.list_(pa.int64())), *(pa.array(c, pa.binary()) for c in cells)], names=["place", "ids", "keys", "grams", "at"])
+
+    return run
+
+
+def add_up(texts: pa.Table, model: pa.Table) -> pa.Table:
+    """(doc_id, k, symbols, total) of the 4-grams of one place."""
+    known = model.column("gram").to_numpy()
+    order = np.argsort(known)
+    known, logs = known[order], model.column("log2p").to_numpy()[order]
+    ids, keys, symbols, totals = [], [], [], []
+    for doc_ids, ks, grams, at in zip(*(texts.column(c).to_pylist() for c in ("ids", "keys", "grams", "at"))):
+        at = np.frombuffer(at, np.int32)
+        ids += doc_ids
+        keys += ks
+        symbols.append(np.bincount(at, minlength=len(ks)))
+        totals.append(np.bincount(at, logs[np.searchsorted(known, np.frombuffer(grams, np.int64))], len(ks)))
+    join = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "k": pa.array(keys, pa.int64()), "symbols": join(symbols, pa.int64()), "total": join(totals, pa.float64())})
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, symbols, log2_probability, bits_per_symbol) of every row under the corpus's own model; symbols are tokens."""
+    model = fit(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    copies = rows.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("copies"))
+    if model is None:
+        return copies.select("doc_id", F.lit(0).cast("long").alias("symbols"), F.lit(None).cast("double").alias("log2_probability"), F.lit(None).cast("double").alias("bits_per_symbol"), F.explode(F.expr("sequence(1, copies)")).alias("c")).drop("c")
+    places = 4 * partitions(docs.sparkSession)
+    texts = rows.where("length(text) > 0").mapInArrow(place_batches(places), "place int, ids array<long>, keys array<long>, grams binary, at binary")
+    model = model.withColumn("spot", F.pmod("gram", F.lit(places)).cast("int"))
+    sums = texts.groupBy("place").cogroup(model.groupBy("spot")).applyInArrow(add_up, "doc_id long, k long, symbols long, total double")
+    sums = sums.groupBy(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k")).agg(F.sum("symbols").alias("symbols"), F.sum("total").alias("total"))
+    found = copies.join(sums, (F.col("k") == F.col("s_k")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left").withColumn("c", F.explode(F.expr("sequence(1, copies)")))
+    return found.select("doc_id", F.coalesce((F.col("symbols") / F.col("copies")).cast("long"), F.lit(0)).alias("symbols"), F.round(F.col("total") / F.col("copies"), 6).alias("log2_probability"), F.round(-F.col("total") / F.col("symbols"), 6).alias("bits_per_symbol"))

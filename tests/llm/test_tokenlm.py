@@ -1,0 +1,77 @@
+"""The token model against brute force."""
+
+import re
+from collections import Counter, defaultdict
+from math import ceil, log2
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shardloom.llm import lm, tokenlm
+from shardloom.llm.common import table
+from shardloom.llm.queries import queries
+from tests.llm.test_llm import DATA, EDGE, docs_of
+
+
+def brute_scores(rows, held):
+    """{(doc_id, text): (tokens, log2 probability)}; held: whether an identifier is held out."""
+    grams = {}
+    for i, t in set(rows):
+        words = ["<s>"] * 3 + re.findall(r" ?(?:[A-Za-z0-9]|[^\x00-\x7f])+|[\x00-\x7f]", t or "")
+        assert "".join(words[3:]) == (t or "")
+        grams[i, t] = [tuple(words[at - 3 : at + 1]) for at in range(3, len(words))]
+    train, test = Counter(), Counter()
+    for i, t in rows:
+        (test if held[i] else train).update(grams[i, t])
+    count, context = [Counter() for _ in range(5)], [Counter() for _ in range(5)]
+    for g, n in train.items():
+        for order in range(1, 5):
+            count[order][g[4 - order :]] += n
+            context[order][g[4 - order : 3]] += n
+    vocabulary = len({g[3] for g in [*train, *test]})
+    parts = {g: np.array([1 / vocabulary] + [count[o][g[4 - o :]] / max(1, context[o][g[4 - o : 3]]) for o in range(1, 5)]) for g in [*train, *test]}
+    bucket = {g: min(lm.BUCKETS - 1, ceil(log2(context[4][g[:3]] + 1))) for g in parts}
+    weights = np.full((lm.BUCKETS, 5), 0.2)
+    for _ in range(lm.ROUNDS):
+        sums = np.zeros_like(weights)
+        for g, n in test.items():
+            share = weights[bucket[g]] * parts[g]
+            sums[bucket[g]] += n * share / share.sum()
+        weights = np.where(sums.sum(1, keepdims=True) > 0, sums / np.maximum(sums.sum(1, keepdims=True), 1e-300), weights)
+    weights = np.maximum(weights, 1e-9)
+    weights /= weights.sum(1, keepdims=True)
+    return {d: (len(gs), sum(log2(weights[bucket[g]] @ parts[g]) for g in gs)) for d, gs in grams.items()}
+
+
+def test_scores_equal_brute_force(spark):
+    texts = [tuple(r) for r in table(spark, DATA, "documents").select("doc_id", "text").orderBy("doc_id").limit(80).collect()]
+    rows = [*texts, *EDGE, (9000, "call 555 1234, now; é"), (9001, "call 555 9876, now: è")]
+    df = docs_of(spark, rows)
+    held = dict(map(tuple, df.select("doc_id", F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string")), F.lit(lm.HELD_OUT)) == 0).collect()))
+    expected = brute_scores(rows, held)
+    got, want = defaultdict(list), defaultdict(list)
+    for r in tokenlm.score(df).collect():
+        got[r.doc_id].append((r.symbols, r.log2_probability))
+    for i, t in rows:
+        want[i].append((expected[i, t][0], expected[i, t][1] if t else None))
+    assert got.keys() == want.keys()
+    for i in want:
+        for a, b in zip(sorted(got[i], key=repr), sorted(want[i], key=repr), strict=True):
+            assert a[0] == b[0] and (a[1] is b[1] or a[1] == pytest.approx(b[1], abs=1e-4))
+
+
+def test_the_query_tells_digits_apart_and_its_model_grows(spark):
+    score = lambda df: {r.doc_id: r.log2_probability for r in tokenlm.score(df).collect()}
+    rows = [(i, f"number {111 if i < 30 else 900 + i} here") for i in range(40)]
+    got = score(docs_of(spark, rows))
+    assert got[1] > got[35] + 1
+    sizes = [tokenlm.fit(docs_of(spark, [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(n)])).count() for n in (10, 40)]
+    assert sizes[1] == 4 * sizes[0]
+    assert queries()["op10_lm"](spark, DATA).agg(F.sum("symbols")).first()[0] < table(spark, DATA, "documents").agg(F.sum(F.length("text"))).first()[0] / 2
+
+
+def test_no_documents_and_no_text(spark):
+    assert tokenlm.score(docs_of(spark, [(1, "x")]).where("false")).count() == 0
+    got = sorted(map(tuple, tokenlm.score(docs_of(spark, [(1, None), (2, ""), (2, "")])).collect()))
+    assert got == [(1, 0, None, None), (2, 0, None, None), (2, 0, None, None)]

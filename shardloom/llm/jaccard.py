@@ -18,10 +18,10 @@ A parity sketch of each set bounds the symmetric difference of a candidate pair
 from below (a bit differs only if an odd number of grams does), so most
 unrelated candidates go before any text moves, and no pair of the result can.
 
-Equal sets are one node, so thousands of copies cost one signature.  The result
-factors the join: pairs of representatives (the smallest identifier of a set)
-with their similarity, and (representative, member, 1.0) for equal sets; all
-other pairs follow from these.
+Equal sets are one node, so thousands of copies cost one signature.  ``pairs``
+gives every pair of documents.  ``join`` factors it: pairs of representatives
+(the smallest identifier of a set) with their similarity, and (representative,
+member, 1.0) for equal sets; all other pairs follow from these.
 
 Defined results: null and token-less texts have no set and join nothing; texts
 with fewer than n tokens use the n-gram of all their tokens; null identifiers
@@ -325,6 +325,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return near.unionByName(equal)
 
 
+def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, similarity) of every pair of documents that reaches the threshold; doc_a is the smaller, a null identifier the larger."""
+    sets, good = similar_sets(docs, id_col, text_col, n, threshold)
+    members = sets.distinct().select("sid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k").alias("one"))
+    side = lambda x: members.select(F.col("sid").alias(x), F.col("one").alias(f"{x}_one"))
+    near = good.join(side("a"), "a").join(side("b"), "b").select("a_one", "b_one", F.round("similarity", 9).alias("similarity"))
+    equal = side("a").join(side("b"), F.col("a") == F.col("b")).where("a_one < b_one").select("a_one", "b_one", F.lit(1.0).alias("similarity"))
+    both = near.unionByName(equal)
+    return both.select(F.least("a_one", "b_one")["doc_id"].alias("doc_a"), F.greatest("a_one", "b_one")["doc_id"].alias("doc_b"), "similarity")
+
+
 def near_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of similar ones: that of the smallest identifier in each connected component."""
     sets, good = similar_sets(docs, id_col, text_col, n, threshold)

@@ -17,7 +17,7 @@ def queries() -> dict:
         "op6_mixing": lambda s, d: mixing.mix(docs(s, d)),
         "op7_jaccard": lambda s, d: jaccard.pairs(docs(s, d)),
         "op8_exact": lambda s, d: exact.exact_duplicates(docs(s, d)),
-        "op9_substring": lambda s, d: substring.repeats(docs(s, d)),
+        "op9_substring": lambda s, d: substring.passages(docs(s, d)),
         "op10_lm": lambda s, d: tokenlm.score(docs(s, d)),
     }
 

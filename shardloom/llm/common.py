@@ -2,15 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+BROADCAST_ROWS = 1_000_000  # rows of a few numbers each, 50 MB at most; more are joined by a shuffle
+KEY_TYPE = "k struct<a: long, b: long>"
+_written: list[tuple] = []
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir, or, where that is unset, a folder of our own."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shardloom-"))
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir.  Only a local master, as in tests, may go without one and gets a folder of its own, removed at the end."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="shardloom-")
+            _written.append((context, folder))
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def remove(context, path: str) -> None:
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def remove_written() -> None:
+    """The folders that ``stored`` wrote, if the session still runs."""
+    for context, path in _written:
+        if context._jsc is not None:
+            remove(context, path)
+    _written.clear()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of the program."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, path))
+    return path
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df by way of compressed files in the shared folder; cuts the lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def limited(df: DataFrame) -> DataFrame:
+    """df, as a broadcast if its counted rows are few; rows must be a few numbers wide."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,17 +68,50 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def kind_of(df: DataFrame, column: str) -> str:
+    """The SQL type of a column; identifiers keep theirs."""
+    return df.schema[column].dataType.simpleString()
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """One 64-bit key of a document's identifier and text; the identifier is compared beside it wherever rows are matched."""
-    return F.xxhash64(F.lit(7), F.col(id_col).cast("string"), F.col(text_col))
+    """A key of 128 bits of a document's identifier and text."""
+    both = [F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")]
+    said = [F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0)) for x in both]  # a null isn't hashed
+    return F.struct(F.xxhash64(F.lit(7), *both, *said).alias("a"), F.xxhash64(F.lit(11), *both, *said).alias("b"))
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose (identifier, text) key is in gone(k, doc_id); null identifiers match each other."""
-    gone = gone.select(F.col("k").alias("__gone_k"), F.col("doc_id").alias("__gone_id"))
-    keyed = docs.withColumn("__row_k", row_key(id_col, text_col))
-    on = (keyed["__row_k"] == gone["__gone_k"]) & keyed[id_col].eqNullSafe(gone["__gone_id"])
-    return keyed.join(gone, on, "left_anti").drop("__row_k")
+def keep_rows(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of groups(k, group): the one with the smallest identifier, nulls last.
+
+    k is the row's key and occurs once in groups; rows without a group stay.
+    Rows that repeat identifier and text have one key: one of them is kept.
+    """
+    spark = docs.sparkSession
+    shared_folder(spark)
+    keyed = docs.select(row_key(id_col, text_col).alias("k"), F.col(f"`{id_col}`").alias("i"))
+    counted = keyed.join(groups, "k").groupBy("k", "group").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("n"))
+    counted = counted.join(counted.groupBy(F.col("group").alias("g")).agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "k")).alias("best"), F.sum("n").alias("all")).where("all > 1"), F.col("group").eqNullSafe(F.col("g")))
+    marked = stored(counted.select("k", (F.col("k") == F.col("best.k")).alias("kept"), "n").where("NOT kept OR n > 1"))
+    packed = docs.select(F.struct(*columns(docs)).alias("row"), row_key(id_col, text_col).alias("k"))
+    gone = limited(marked.select("k"))
+    rest = packed.join(gone, "k", "left_anti")
+    again = marked.where("kept").select("k")
+    if not again.isEmpty():
+        one = packed.join(limited(again), "k", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))).where("place = 1").drop("place")
+        rest = rest.unionByName(one)
+    return rest.select("row.*")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -55,7 +135,3 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         roots = step.select("node", "root")
         if step.where("moved").isEmpty():
             return roots
-
-
-def first_of_group(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rank = 1").drop("__rank")

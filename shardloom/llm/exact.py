@@ -2,16 +2,21 @@
 
 Digests (128 bits) stream into memtables.  A full memtable is flushed as a
 sorted run: one segment for each digest range, with a Bloom filter.  Compaction
-merges the segments of a range: a digest that is single in its run and that no
-other run's filter admits is unique without a merge; the rest are merged, and
-the smallest identifier is kept.  Hits are only candidates until their texts
-are compared byte for byte.
+goes by levels: FANOUT runs of a range are merged into one run of the next level
+until FANOUT at most are left.  Of these, a digest that is single in its run and
+that no other run's filter admits is unique without a merge; the rest are merged.
+Hits are only candidates until their texts are compared byte for byte: a digest
+whose least and greatest text are equal is one group; where they differ, each
+text is.  The smallest identifier of a group is kept.  Texts are aggregated
+before they move, so a group of copies costs one text for each task.
 
 Defined results: a null text is content of its own kind and never a copy; empty
-texts are copies of one another; a null identifier sorts after all others;
-repeated rows (same identifier and text) count as one document in
-``exact_duplicates`` and lose all but one row in ``exact_stage``; an empty table
-gives an empty result; extra columns are carried or ignored.
+texts are copies of one another, and very long texts are taken whole; a null
+identifier sorts after all others; identifiers keep their type; repeated rows
+(same identifier and text) count as one document in ``exact_duplicates`` and lose
+all but one row in ``exact_stage``; an empty table gives an empty result; other
+columns, whatever their names, are ignored or, in the stage, carried.  Rows are
+told apart by 128-bit keys of identifier and text.
 """
 
 from __future__ import annotations
@@ -21,18 +26,20 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernels
-from .common import drop_rows, first_of_group, partitions, row_key, shared_folder
+from .common import keep_rows, limited, partitions, row_key, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MEMTABLE_ENTRIES = 1_000_000
 FILTER_BITS = 12
 FILTER_HASHES = 5
-ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8"), ("k", "<i8")])
+FANOUT = 8
+SPAN_ENTRIES = 500_000
+ENTRY = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("a", "<i8"), ("b", "<i8")])  # digest and row key
 RUN_SCHEMA = "span int, run long, entries binary, filter binary"
-HIT_SCHEMA = "doc_id long, k long, hi long, lo long"
+HIT_SCHEMA = "a long, b long, hi long, lo long"
 
 
 def filter_slots(hi: np.ndarray, lo: np.ndarray, bits: int) -> np.ndarray:
@@ -54,7 +61,7 @@ def in_filter(packed: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 def flush(memtable: list[np.ndarray], run: int, spans: int) -> pa.RecordBatch:
     """A sorted run, cut into its digest ranges."""
     entries = np.concatenate(memtable)
-    entries = entries[np.lexsort((entries["k"], entries["id"], entries["lo"], entries["hi"]))]
+    entries = entries[np.lexsort((entries["b"], entries["a"], entries["lo"], entries["hi"]))]
     span = ((entries["hi"] >> np.uint64(32)) * np.uint64(spans)) >> np.uint64(32)
     rows = []
     for s in np.unique(span):
@@ -70,7 +77,7 @@ def memtables(spans: int, limit: int):
         run, held, count = TaskContext.get().partitionId() << 24, [], 0
         for batch in batches:
             part = np.zeros(batch.num_rows, ENTRY)
-            for at, name in enumerate(("hi", "lo", "id", "k")):
+            for at, name in enumerate(("hi", "lo", "a", "b")):
                 part[name] = batch.column(at).to_numpy(zero_copy_only=False).astype(part[name].dtype)
             for cut in range(0, len(part), limit):
                 held.append(part[cut : cut + limit])
@@ -84,74 +91,84 @@ def memtables(spans: int, limit: int):
     return run_task
 
 
+def merged(runs: list[np.ndarray]) -> np.ndarray:
+    entries = np.concatenate(runs)
+    return entries[np.lexsort((entries["b"], entries["a"], entries["lo"], entries["hi"]))]
+
+
+def repeats(run: np.ndarray) -> np.ndarray:
+    """Which entries of a sorted run have a neighbour of the same digest."""
+    same = (run["hi"][1:] == run["hi"][:-1]) & (run["lo"][1:] == run["lo"][:-1])
+    out = np.zeros(len(run), bool)
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def compact(runs: list[np.ndarray], filters: list[np.ndarray]) -> np.ndarray:
     """The entries whose digest occurs more than once, sorted by digest."""
+    while len(runs) > FANOUT:
+        runs = sorted(runs, key=len)
+        runs = [merged(runs[i : i + FANOUT]) for i in range(0, len(runs), FANOUT)]
+        filters = [build_filter(r["hi"], r["lo"]) for r in runs]
     alive = []
     for i, run in enumerate(runs):
-        same = (run["hi"][1:] == run["hi"][:-1]) & (run["lo"][1:] == run["lo"][:-1])
-        maybe = np.zeros(len(run), bool)
-        maybe[1:] |= same
-        maybe[:-1] |= same
+        maybe = repeats(run)
         for j, other in enumerate(filters):
             if i != j and not maybe.all():
                 left = np.flatnonzero(~maybe)
                 maybe[left[in_filter(other, run["hi"][left], run["lo"][left])]] = True
         alive.append(run[maybe])
-    merged = np.concatenate(alive)
-    merged = merged[np.lexsort((merged["k"], merged["id"], merged["lo"], merged["hi"]))]
-    same = (merged["hi"][1:] == merged["hi"][:-1]) & (merged["lo"][1:] == merged["lo"][:-1])
-    hit = np.zeros(len(merged), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    return merged[hit]
+    found = merged(alive)
+    return found[repeats(found)]
 
 
 def compact_span(group: pa.Table) -> pa.Table:
     runs = [np.frombuffer(x.as_buffer(), ENTRY) for x in group.column("entries")]
     filters = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("filter")]
     hits = compact(runs, filters)
-    ids = pa.array(hits["id"], mask=hits["id"] == np.iinfo(np.int64).max)
-    return pa.table([ids, pa.array(hits["k"]), pa.array(hits["hi"].astype(np.int64)), pa.array(hits["lo"].astype(np.int64))], names=["doc_id", "k", "hi", "lo"])
+    return pa.table([pa.array(hits[c].astype(np.int64)) for c in ("a", "b", "hi", "lo")], names=["a", "b", "hi", "lo"])
+
+
+def md5_halves(text: Column) -> list[Column]:
+    digest = F.md5(text)
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return [F.shiftleft(word(at), 32).bitwiseOR(word(at + 8)) for at in (1, 17)]
 
 
-def digest_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES, spans: int | None = None) -> DataFrame:
-    """(doc_id, k, hi, lo) of the rows that share a digest with another row: runs, then their compaction."""
-    spans = spans or partitions(docs.sparkSession)
-    md5 = F.md5(F.col(text_col).cast("binary"))
-    wide = lambda at: F.shiftleft(F.conv(F.substring(md5, at, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(md5, at + 8, 8), 16, 10).cast("long"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        wide(1).alias("hi"), wide(17).alias("lo"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), row_key(id_col, text_col).alias("k")
-    )
-    return rows.mapInArrow(memtables(spans, memtable_entries), RUN_SCHEMA).groupBy("span").applyInArrow(compact_span, HIT_SCHEMA)
+def digest_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES, spans: int | None = None, digest=md5_halves) -> DataFrame:
+    """(k, hi, lo) of the rows that share a digest with another row: runs, then their compaction."""
+    spans = spans or max(partitions(docs.sparkSession), -(-docs.count() // SPAN_ENTRIES))
+    hi, lo = digest(F.col(f"`{text_col}`").cast("binary"))
+    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(hi.alias("hi"), lo.alias("lo"), row_key(id_col, text_col).alias("k")).select("hi", "lo", "k.a", "k.b")
+    hits = rows.mapInArrow(memtables(spans, memtable_entries), RUN_SCHEMA).groupBy("span").applyInArrow(compact_span, HIT_SCHEMA)
+    return hits.select(F.struct("a", "b").alias("k"), "hi", "lo").distinct()
 
 
-def verified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES) -> DataFrame:
-    """(doc_id, k, keep_id, keep_k, hi, lo) of each distinct document whose text, byte for byte, another has."""
-    shared_folder(docs.sparkSession)
-    hits = digest_hits(docs, id_col, text_col, memtable_entries).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("t_id"), row_key(id_col, text_col).alias("t_k"), F.col(text_col).cast("binary").alias("bytes"))
-    found = hits.join(texts, (hits.k == texts.t_k) & hits.doc_id.eqNullSafe(texts.t_id)).select("doc_id", "k", "hi", "lo", "bytes")
-    same = Window.partitionBy("hi", "lo", "bytes").orderBy(F.col("doc_id").asc_nulls_last(), "k")
-    found = found.select("doc_id", "k", "hi", "lo", F.first("doc_id").over(same).alias("keep_id"), F.first("k").over(same).alias("keep_k"), F.row_number().over(same).alias("place"))
-    return found.where("place > 1").drop("place")
+def verified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES, digest=md5_halves) -> DataFrame:
+    """(k, i, group) of the rows whose digest others have: key, identifier, and a name of their text, equal for equal texts only."""
+    hits = stored(digest_hits(docs, id_col, text_col, memtable_entries, digest=digest))
+    texts = docs.select(row_key(id_col, text_col).alias("k"), F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("bytes"))
+    found = texts.join(limited(hits), "k")
+    told = stored(found.groupBy("hi", "lo").agg((F.min("bytes") != F.max("bytes")).alias("differ")))
+    rows = found.select("k", "i", "hi", "lo").join(told.where("NOT differ").select("hi", "lo"), ["hi", "lo"]).select("k", "i", F.struct("hi", "lo", F.lit(0).alias("n")).alias("group"))
+    clash = told.where("differ").select("hi", "lo")
+    if clash.isEmpty():
+        return rows
+    # Different texts of one digest: few, so their texts may be grouped as they are.
+    apart = stored(found.join(F.broadcast(clash), ["hi", "lo"]))
+    names = apart.select("hi", "lo", "bytes").distinct().withColumn("n", F.row_number().over(Window.partitionBy("hi", "lo").orderBy("bytes")))
+    return rows.unionByName(apart.join(names, ["hi", "lo", "bytes"]).select("k", "i", F.struct("hi", "lo", "n").alias("group")))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES, digest=md5_halves) -> DataFrame:
     """(doc_id, duplicate_of): each document that is a byte-for-byte copy, with the smallest identifier of its group."""
-    pairs = verified(docs, id_col, text_col, memtable_entries).where("NOT (doc_id <=> keep_id)")
-    return pairs.select("doc_id", F.col("keep_id").alias("duplicate_of")).distinct()
+    rows = stored(verified(docs, id_col, text_col, memtable_entries, digest).select("i", "group").distinct())
+    kept = rows.groupBy("group").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i"))["i"].alias("keep"))
+    return rows.join(kept, "group").where("NOT (i <=> keep)").select(F.col("i").alias("doc_id"), F.col("keep").alias("duplicate_of")).distinct()
 
 
-def exact_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES) -> DataFrame:
+def exact_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_entries: int = MEMTABLE_ENTRIES, digest=md5_halves) -> DataFrame:
     """docs with one row of each text: that of the smallest identifier; rows with null text stay."""
-    shared_folder(docs.sparkSession)
-    copies = verified(docs, id_col, text_col, memtable_entries).checkpoint()
-    kept = drop_rows(docs, copies.where("NOT (k <=> keep_k AND doc_id <=> keep_id)").select("k", "doc_id").distinct(), id_col, text_col)
-    again = copies.where("k <=> keep_k AND doc_id <=> keep_id").select(F.col("k").alias("__gone_k"), F.col("doc_id").alias("__gone_id")).distinct()
-    if again.isEmpty():
-        return kept
-    # The kept document was given in several rows: one of them stays.
-    keyed = kept.withColumn("__row_k", row_key(id_col, text_col))
-    on = (F.col("__row_k") == F.col("__gone_k")) & F.col(id_col).eqNullSafe(F.col("__gone_id"))
-    one = first_of_group(keyed.join(again, on, "left_semi"), ["__row_k", id_col], [F.lit(1)])
-    return keyed.join(again, on, "left_anti").unionByName(one).drop("__row_k")
+    groups = stored(verified(docs, id_col, text_col, memtable_entries, digest).select("k", "group").distinct())
+    return keep_rows(docs, groups, id_col, text_col)

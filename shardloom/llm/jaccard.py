@@ -14,19 +14,35 @@ neighbourhoods: each spends two differences (equal, or equal after one deletion
 on either side), and the allocation of H between the two kinds is the one with
 the least expected cost.  Candidate pairs are verified exactly on whole texts.
 
-A parity sketch of each set bounds the symmetric difference of a candidate pair
-from below (a bit differs only if an odd number of grams does), so most
-unrelated candidates go before any text moves, and no pair of the result can.
-
-Equal sets are one node, so thousands of copies cost one signature.  ``pairs``
-gives every pair of documents.  ``join`` factors it: pairs of representatives
-(the smallest identifier of a set) with their similarity, and (representative,
-member, 1.0) for equal sets; all other pairs follow from these.
-
-Defined results: null and token-less texts have no set and join nothing; texts
-with fewer than n tokens use the n-gram of all their tokens; null identifiers
-take part (as null); repeated rows are one document; an empty table gives an
-empty result; other columns are ignored by the join and carried by the stage.
+Nothing that is shuffled grows with the square of a group of near copies:
+
+* Equal sets are one node with a number of documents.
+* Nodes that share a min-hash key (rare grams weigh most) get one *cell*.  Within
+  a cell every pair is verified in place, without signatures; so postings of one
+  cell are dropped, and a large cell is one entry of a posting, however many
+  members it has.  Any cells give the same result; good ones are only cheaper.
+* Candidates of different cells are checked by size and parity sketch while their
+  posting is expanded (a bit differs only if an odd number of grams does, so the
+  sketches bound the symmetric difference from below); survivors alone move.
+* A cell's texts travel to one place; a cell of more than ``BLOCK`` nodes is cut
+  into blocks, and each pair of blocks is a place of its own.
+* A place returns, for each node, its number of links and the smallest node it is
+  connected with, never the pairs.
+
+``links`` gives one row for each row of the table: (doc_id, class_id, links).
+class_id is the smallest identifier of the documents that are connected by links;
+links is the number of other rows with a similarity of t or more, equal ones
+included.  ``near_stage`` keeps one document of each class.
+
+Defined results: null and token-less texts have no set, so no links and a class
+of their own; texts with fewer than n tokens use the n-gram of all their tokens;
+very long texts are taken whole; a null identifier takes part like any other and
+names a class only if all its identifiers are null; identifiers keep their type;
+repeated rows are linked with one another, and ``near_stage`` keeps one; an empty
+table gives an empty result; other columns, whatever their names, are ignored by
+``links`` and carried by the stage.  Grams are compared by 64-bit hashes, sets by
+64-bit names of these: for s grams in a pair the odds of a wrong similarity are
+s**2 / 2**65, for n sets those of one wrong equality n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -40,7 +56,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
-from .common import components, drop_rows, partitions, row_key, shared_folder
+from .common import KEY_TYPE, components, keep_rows, limited, partitions, row_key, stored
 from .kernels import U64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,9 +65,11 @@ THRESHOLD = 0.8
 BAND_STEP = 2  # a band begins every 1 / THRESHOLD ** BAND_STEP
 SLACK = 1.3  # segments for each one that is indexed
 COST_BUCKETS = 65536
-BLOCK = 512
+BLOCK = 2048  # nodes of a cell in one place
+LARGE_CELL = 4096  # nodes from which a cell is one entry of a posting
+KEYS, KEY_GRAMS = 3, 4  # min-hash keys of a set, and the grams that make up one
+SIGNATURE_BYTES = 6
 COMMON = 0.05  # chance that two unrelated documents agree on a token, for the allocation
-BROADCAST_ROWS = 1_000_000  # keys of 16 bytes; more are joined by a shuffle
 SKETCH_SHIFT = 20
 SIGNATURE_COST = 2e-3  # of a signature row, against a candidate
 
@@ -186,9 +204,9 @@ def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands:
 
 
 def sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
-    """Of each row the parity of its grams in a power of two of bits, at least half as many as it has grams and 64."""
+    """Of each row the parity of its grams in a power of two of bits, about as many as it has grams, and 64 at least."""
     size = np.diff(bounds)
-    bits = 64 << np.ceil(np.log2(np.maximum(1, size / 128))).astype(np.int64)
+    bits = 64 << np.rint(np.log2(np.maximum(1, size / 64))).astype(np.int64)
     begin = np.r_[0, np.cumsum(bits)]
     row = np.repeat(np.arange(len(size)), size)
     place = begin[row] + ((values >> U64(SKETCH_SHIFT)) & (bits[row] - 1).astype(U64)).astype(np.int64)
@@ -196,34 +214,65 @@ def sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
     return [packed[begin[i] >> 3 : begin[i + 1] >> 3] for i in range(len(size))]
 
 
-def set_batches(n: int):
+def cell_keys(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """KEYS numbers for each row that near copies are likely to share: each names KEY_GRAMS grams drawn by weighted min-hash."""
+    size = np.diff(bounds)
+    some = np.flatnonzero(size)
+    out = np.zeros((len(size), KEYS), U64)
+    if not len(some):
+        return out
+    weight = rare[(values >> U64(48)).astype(np.int64)] + 1e-3
+    begin, row = bounds[:-1][some], np.repeat(np.arange(len(some)), size[some])
+    for key in range(KEYS):
+        name = np.full(len(some), U64(key + 1))
+        for draw in range(KEY_GRAMS):
+            mixed = kernels.mix(values ^ U64((key * KEY_GRAMS + draw + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+            cost = -np.log(((mixed >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)) / weight
+            best = np.minimum.reduceat(cost, begin)
+            drawn = np.maximum.reduceat(np.where(cost == best[row], mixed, U64(0)), begin)
+            name = kernels.mix(name * kernels.BASE + drawn)
+        out[some, key] = name
+    return out
+
+
+def set_batches(n: int, rare):
     def run(batches):
         for batch in batches:
-            for lo, hi, offsets, raw in kernels.chunks(batch.column(2)):
+            for lo, hi, offsets, raw in kernels.chunks(batch.column(1)):
                 bounds, values = gram_sets(offsets, raw, n)
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(set_ids(bounds, values).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(bounds, values), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "sid", "size", "sketch"]).filter(pa.array(np.diff(bounds) > 0))
+                keys = cell_keys(bounds, values, rare.value).view(np.int64)
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(set_ids(bounds, values).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(bounds, values), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), KEYS).cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "sid", "size", "sketch", "keys"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
 
 def signature_batches(n: int, threshold: float, rare):
+    """(sid, signatures): one row for each document, SIGNATURE_BYTES for each signature."""
+
     def run(batches):
-        bands, costs = Bands(threshold), rare.value
+        bands = Bands(threshold)
         for batch in batches:
             for _, _, offsets, raw in kernels.chunks(batch.column(0)):
                 bounds, values = gram_sets(offsets, raw, n)
-                row, sig = signatures(bounds, values, costs, bands)
+                row, sig = signatures(bounds, values, rare.value, bands)
                 order = np.argsort(row, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(bounds, values)[row[order]].view(np.int64)), pa.array(sig[order].view(np.int64))], names=["sid", "sig"])
+                data = np.ascontiguousarray(sig[order]).view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES].tobytes()
+                cut = np.searchsorted(row[order], np.arange(len(bounds))) * SIGNATURE_BYTES
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(bounds, values).view(np.int64)), packed], names=["sid", "sigs"]).filter(pa.array(np.diff(bounds) > 0))
 
     return run
 
 
-def matrix(column) -> np.ndarray:
-    """The cells of a binary column, all of one length, as rows of 64-bit numbers."""
-    cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), U64).reshape(len(cells), -1)
+def entry_batches(batches):
+    """(sig, node) of each signature of each node."""
+    for batch in batches:
+        offsets, raw = kernels.string_parts(batch.column(1))
+        sig = np.zeros((len(raw) // SIGNATURE_BYTES, 8), np.uint8)
+        sig[:, :SIGNATURE_BYTES] = raw.reshape(-1, SIGNATURE_BYTES)
+        node = np.repeat(batch.column(0).to_numpy(), np.diff(offsets) // SIGNATURE_BYTES)
+        yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64).ravel()), pa.array(node)], names=["sig", "node"])
 
 
 def folded(sketch: np.ndarray, width: int) -> np.ndarray:
@@ -233,114 +282,223 @@ def folded(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch
 
 
-def near_enough(threshold: float):
-    """Drops the pairs whose sizes or sketches exclude the threshold."""
+def sketch_rows(offsets: np.ndarray, raw: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of rows that all have ``width`` words."""
+    return raw.view(U64)[(offsets[at] // 8)[:, None] + np.arange(width)]
+
+
+def near_enough(a: np.ndarray, b: np.ndarray, size: np.ndarray, offsets: np.ndarray, raw: np.ndarray, threshold: float, bands: Bands) -> np.ndarray:
+    """Which of the pairs of rows a, b their sizes and sketches don't exclude; rows without a sketch aren't excluded."""
+    words = np.diff(offsets) // 8
+    bare = (words[a] == 0) | (words[b] == 0)
+    keep = bare | (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
+    told = np.flatnonzero(keep & ~bare)
+    shape = words[a[told]] << 32 | words[b[told]]
+    for both in np.unique(shape):
+        for at in np.array_split(told[shape == both], max(1, int((shape == both).sum()) >> 15)):
+            wide = (int(both) >> 32, int(both) & 0xFFFFFFFF)
+            left, right = (folded(sketch_rows(offsets, raw, x[at], w), min(wide)) for x, w in zip((a, b), wide))
+            keep[at] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) <= bands.differences(size[a[at]] + size[b[at]])
+    return keep
+
+
+def candidate_batches(threshold: float):
+    """(a, b): the nodes of different cells that share a posting and may be similar; a large cell is its own negative."""
 
     def run(batches):
         bands = Bands(threshold)
         for batch in batches:
-            a, b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            keep = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-            lengths = [np.array([len(x) for x in batch.column(i).to_pylist()], np.int64) for i in (4, 5)]
-            for both in np.unique(lengths[0][keep] << 32 | lengths[1][keep]):
-                at = np.flatnonzero(keep & (lengths[0] == both >> 32) & (lengths[1] == both & 0xFFFFFFFF))
-                left, right = (matrix(batch.column(i).take(pa.array(at))) for i in (4, 5))
-                width = min(left.shape[1], right.shape[1])
-                differ = np.bitwise_count(folded(left, width) ^ folded(right, width)).sum(axis=1, dtype=np.int64)
-                keep[at] = differ <= bands.differences(a[at] + b[at])
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            lists = batch.column(0)
+            entries = lists.flatten()
+            node, cell, size = (entries.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            offsets, raw = kernels.string_parts(entries.field(3))
+            cuts = np.asarray(lists.offsets)
+            end = np.repeat(cuts[1:] - cuts[0], np.diff(cuts))
+            at, step = np.arange(len(node)), 1
+            while True:
+                at = at[at + step < end[at]]  # pairs of entries ``step`` apart, for every posting at once
+                if not len(at):
+                    break
+                a, b = at[cell[at] != cell[at + step]], None
+                b = a + step
+                keep = near_enough(a, b, size, offsets, raw, threshold, bands)
+                x, y = node[a[keep]], node[b[keep]]
+                if len(x):
+                    pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                step += 1
 
     return run
 
 
+def first_rows(batches):
+    """Each sid once for each batch."""
+    for batch in batches:
+        _, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+        yield batch.take(pa.array(np.sort(at)))
+
+
+class Groups:
+    """Links and connected groups of the nodes of a place."""
+
+    def __init__(self, sids: np.ndarray, docs: np.ndarray):
+        self.docs, self.links, self.parent = docs, np.zeros(len(sids), np.int64), list(range(len(sids)))
+
+    def root(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def link(self, a: np.ndarray, b: np.ndarray):
+        np.add.at(self.links, a, self.docs[b])
+        np.add.at(self.links, b, self.docs[a])
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+
+
+def common_grams(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many values each two of the sets share."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, name, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    renamed = np.full(len(times), -1)
+    renamed[times > 1] = np.arange((times > 1).sum())
+    name = renamed[name]
+    row, name = row[name >= 0], name[name >= 0]
+    out, order = np.zeros((len(sets), len(sets)), np.float32), np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    for low in range(0, int(name[-1]) + 1 if len(name) else 0, columns):
+        part = slice(*np.searchsorted(name, [low, low + columns]))
+        x = np.zeros((len(sets), min(columns, int(name[-1]) + 1 - low)), np.float32)
+        x[row[part], name[part] - low] = 1
+        out += x @ x.T
+    return out
+
+
 def verifier(n: int, threshold: float):
-    def verify(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """Links and groups of one place.  Its rows: members of a unit (x, side), any two of which are compared, or left with right; and single pairs (x, y)."""
+
+    def verify(wanted: pa.Table, texts: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
-        sets: dict[int, np.ndarray] = {}
-        sids = texts.column("sid").to_pylist()
+        grams: dict[int, np.ndarray] = {}
+        names = texts.column("sid").to_numpy()
         if len(texts):
             for lo, hi, offsets, raw in kernels.chunks(texts.column("text").chunk(0)):
                 bounds, values = gram_sets(offsets, raw, n)
                 for i in range(hi - lo):
-                    sets[sids[lo + i]] = values[bounds[i] : bounds[i + 1]]
-        a, b, out = pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), []
-        for x, y in zip(a, b):
-            p, q = sets[x], sets[y]
-            if len(p) > len(q):
-                p, q = q, p
-            if len(p) < threshold * len(q) - 1e-9:
-                continue
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            common = int((q[at] == p).sum())
-            similarity = common / (len(p) + len(q) - common)
-            if similarity >= threshold - 1e-12:
-                out.append((x, y, similarity))
-        cols = list(zip(*out)) or [(), (), ()]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "similarity": pa.array(cols[2], pa.float64())})
+                    grams[int(names[lo + i])] = values[bounds[i] : bounds[i + 1]]
+        sids = np.array(sorted(grams), np.int64)
+        docs = np.ones(len(sids), np.int64)
+        docs[np.searchsorted(sids, names)] = texts.column("docs").to_numpy()
+        sets = [grams[s] for s in sids.tolist()]
+        size, groups = np.array([len(s) for s in sets], np.float64), Groups(sids, docs)
+        unit, x, y, side = (wanted.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "x", "y", "side"))
+        enough = lambda both, a, b: both >= threshold * (size[a] + size[b] - both) - 1e-9
+        single = side == 3
+        order = np.lexsort((y[single], x[single]))
+        left, right = np.searchsorted(sids, x[single][order]), np.searchsorted(sids, y[single][order])
+        both = np.array([np.intersect1d(sets[a], sets[b], assume_unique=True).size for a, b in zip(left.tolist(), right.tolist())], np.float64)
+        good = enough(both, left, right) if len(left) else np.zeros(0, bool)
+        groups.link(left[good], right[good])
+        order = np.flatnonzero(~single)  # a node is in a unit once
+        order = order[np.lexsort((x[order], unit[order]))]
+        cut = np.flatnonzero(np.r_[True, unit[order][1:] != unit[order][:-1]]) if len(order) else np.zeros(0, int)
+        for begin, end in zip(cut, np.r_[cut[1:], len(order)]):
+            member = np.searchsorted(sids, x[order[begin:end]])
+            part = side[order[begin:end]]
+            shared = common_grams([sets[i] for i in member.tolist()])
+            a, b = np.nonzero(np.triu(enough(shared, member[:, None], member[None, :]), 1))
+            keep = (part[a] == 0) | (part[a] != part[b])
+            groups.link(member[a[keep]], member[b[keep]])
+        at = np.flatnonzero(groups.links)
+        return pa.table({"sid": pa.array(sids[at]), "root": pa.array(sids[[groups.root(i) for i in at.tolist()]], pa.int64()), "links": pa.array(groups.links[at])})
 
     return verify
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(documents with their sets: doc_id, k, sid; verified pairs of sets: a, b, similarity)."""
+def cells_of(nodes: DataFrame) -> DataFrame:
+    """(sid, cell): nodes that share a key, or share one with a node that does, mostly get one cell; cells are numbers of 32 bits."""
+    keys = nodes.select("sid", F.explode("keys").alias("key"))
+    label = nodes.select("sid", F.col("sid").alias("label"))
+    for _ in range(2):
+        least = keys.join(label, "sid").groupBy("key").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        found = keys.join(least, "key").groupBy("sid").agg(F.min("label").alias("near"))
+        label = label.join(found, "sid", "left").select("sid", F.least("label", "near").alias("label"))
+    return label.select("sid", F.shiftright(F.xxhash64("label"), 32).cast("int").alias("cell"))
+
+
+def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(documents with their sets: k, sid; sets with links to others: sid, root, links); k is the row's key."""
     spark = docs.sparkSession
-    shared_folder(spark)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.lower(text_col).alias("text"))
+    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).select(row_key(id_col, text_col).alias("k"), F.lower(f"`{text_col}`").alias("text"))
     rare = spark.sparkContext.broadcast(rarity(rows, n))
-    sets = rows.mapInArrow(set_batches(n), "doc_id long, k long, sid long, size int, sketch binary").checkpoint()
-    signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sig long")
-    posts = signed.groupBy("sig").agg(F.collect_set("sid").alias("sids")).where("size(sids) > 1")
-    # The same sets meet under many signatures: each list of sets is expanded once.
-    lists = posts.select(F.array_sort("sids").alias("sids")).distinct()
-    pairs = lists.select("sids", F.posexplode("sids").alias("at", "a")).select("a", F.explode(F.slice("sids", F.col("at") + 2, F.size("sids"))).alias("b")).distinct()
-    known = sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    side = lambda x: known.select(F.col("sid").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
-    described = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
-    pairs = described.mapInArrow(near_enough(threshold), "a long, b long").checkpoint()
-    # Partners get the least of their neighbours as block, so the texts of a group travel to one place once.
-    both = pairs.select(F.col("a").alias("sid"), F.least("a", "b").alias("near")).unionByName(pairs.select(F.col("b").alias("sid"), F.least("a", "b").alias("near")))
-    block = both.groupBy("sid").agg(F.min("near").alias("block"))
-    crowd = block.groupBy("block").agg(F.count(F.lit(1)).alias("crowd"))
-    # A large block is cut into parts, and each pair of parts is a place of its own.
-    block = block.join(crowd, "block").select("sid", "block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("crowd") / BLOCK)).alias("part"))
-    left, right = (block.select(F.col("sid").alias(x), F.struct("block", "part").alias(f"{x}_at")) for x in "ab")
-    placed = pairs.join(left, "a").join(right, "b").withColumn("place", F.pmod(F.xxhash64(F.least("a_at", "b_at"), F.greatest("a_at", "b_at")), F.lit(8 * partitions(spark))).cast("int")).select("a", "b", "place")
-    wanted = placed.select(F.explode(F.array(*[F.struct(F.col("place").alias("spot"), F.col(x).alias("sid")) for x in "ab"])).alias("w")).select("w.spot", "w.sid").distinct()
-    source = sets.groupBy("sid").agg(F.min(F.struct("k", "doc_id")).alias("one")).select("sid", "one.k", F.col("one.doc_id").alias("s_id"))
-    source = source.join(wanted.select("sid").distinct(), "sid", "left_semi").withColumnRenamed("k", "s_k")
-    source = F.broadcast(source) if wanted.select("sid").distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else source
-    texts = rows.join(source, (rows.k == source.s_k) & rows.doc_id.eqNullSafe(source.s_id)).select("sid", "text")
-    texts = wanted.join(texts, "sid")
-    good = placed.groupBy("place").cogroup(texts.groupBy("spot")).applyInArrow(verifier(n, threshold), "a long, b long, similarity double")
-    return sets.select("doc_id", "k", "sid"), good
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, similarity): pairs of representatives, and each representative with the documents of an equal set."""
-    sets, good = similar_sets(docs, id_col, text_col, n, threshold)
-    first = sets.groupBy("sid").agg(F.min("doc_id").alias("rep"))
-    good = good.join(first.select(F.col("sid").alias("a"), F.col("rep").alias("x")), "a").join(first.select(F.col("sid").alias("b"), F.col("rep").alias("y")), "b")
-    near = good.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("similarity", 9).alias("similarity"))
-    equal = sets.join(first, "sid").where("NOT (doc_id <=> rep)").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("similarity")).distinct()
-    return near.unionByName(equal)
-
-
-def pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_a, doc_b, similarity) of every pair of documents that reaches the threshold; doc_a is the smaller, a null identifier the larger."""
-    sets, good = similar_sets(docs, id_col, text_col, n, threshold)
-    members = sets.distinct().select("sid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k").alias("one"))
-    side = lambda x: members.select(F.col("sid").alias(x), F.col("one").alias(f"{x}_one"))
-    near = good.join(side("a"), "a").join(side("b"), "b").select("a_one", "b_one", F.round("similarity", 9).alias("similarity"))
-    equal = side("a").join(side("b"), F.col("a") == F.col("b")).where("a_one < b_one").select("a_one", "b_one", F.lit(1.0).alias("similarity"))
-    both = near.unionByName(equal)
-    return both.select(F.least("a_one", "b_one")["doc_id"].alias("doc_a"), F.greatest("a_one", "b_one")["doc_id"].alias("doc_b"), "similarity")
+    sets = stored(rows.mapInArrow(set_batches(n, rare), f"{KEY_TYPE}, sid long, size int, sketch binary, keys array<long>"))
+    nodes = sets.groupBy("sid").agg(F.count(F.lit(1)).alias("docs"), F.min("k").alias("k"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    nodes = stored(nodes.join(cells_of(nodes), "sid").drop("keys"))
+    crowd = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("crowd"))
+    # An entry has its cell in the upper half; where two sets of a cell coincide in the lower half, both are candidates.
+    nodes = nodes.join(crowd.where("crowd > 1"), "cell", "left").withColumn("crowd", F.coalesce("crowd", F.lit(1)))
+    entry = F.when(F.col("crowd") >= LARGE_CELL, F.shiftleft(F.col("cell").cast("long"), 32)).otherwise(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.col("sid").bitwiseAND((1 << 32) - 1)))
+    nodes = stored(nodes.withColumn("node", entry))
+    signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sigs binary").groupBy("sid").agg(F.first("sigs").alias("sigs"))
+    entries = signed.join(nodes.select("sid", "node"), "sid").select("node", "sigs").mapInArrow(entry_batches, "sig long, node long")
+    posts = entries.groupBy("sig").agg(F.collect_set("node").alias("nodes")).where(F.shiftright(F.array_min("nodes"), 32) != F.shiftright(F.array_max("nodes"), 32))
+    # The same nodes meet under many signatures: each list is expanded once.
+    lists = posts.select(F.array_sort("nodes").alias("nodes")).distinct().select(F.xxhash64("nodes").alias("post"), F.explode("nodes").alias("node"))
+    told = nodes.where(F.col("crowd") < LARGE_CELL).select("node", F.col("sid"), "cell", "size", "sketch")
+    large = nodes.where(F.col("crowd") >= LARGE_CELL).select("node", F.lit(None).cast("long").alias("sid"), "cell", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("sketch")).distinct()
+    described = lists.join(told.unionByName(large), "node").groupBy("post").agg(F.collect_list(F.struct("node", "cell", "size", F.coalesce("sketch", F.lit(b"")))).alias("list"))
+    pairs = stored(described.select("list").mapInArrow(candidate_batches(threshold), "a long, b long").distinct())
+    # Back to sets.  A pair with a large cell stands for all its members: the other side is a guest of the cell.
+    few, many, host = nodes.where(F.col("crowd") < LARGE_CELL), nodes.where(F.col("crowd") >= LARGE_CELL), large.select("node", "cell")
+    side = lambda df, x: df.withColumnRenamed("node", x)
+    few, many = few.select("node", "sid", "cell"), many.select("node", "sid")
+    single = pairs.join(side(few, "a"), "a").withColumnRenamed("sid", "x").join(side(few.select("node", F.col("sid").alias("y")), "b"), "b").select("cell", "x", "y")
+    turned = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    guest = turned.join(side(host, "a"), "a").join(side(few.select("node", "sid"), "b"), "b").select("cell", "sid")
+    guest = guest.unionByName(pairs.join(side(host, "a"), "a").join(side(many, "b"), "b").select("cell", "sid")).distinct()
+    guests = guest.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(8 * partitions(spark))).cast("int")
+    blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    member = nodes.where("crowd > 1").select("cell", "sid", blocks.alias("blocks"), F.pmod(F.xxhash64("sid"), blocks).cast("int").alias("mine"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    row = lambda low, high, side, x="sid", y="sid": [place("cell", low, high).alias("place"), F.xxhash64("cell", low, high).alias("unit"), F.col(x).alias("x"), F.col(y).alias("y"), F.coalesce(side, F.lit(0)).alias("side")]
+    zero = F.lit(0)
+    work = single.select(*row(zero, zero, F.lit(3), "x", "y"))
+    work = work.unionByName(member.withColumn("other", every("blocks")).select(*row(low, high, F.when(F.col("mine") < F.col("other"), 1).when(F.col("mine") > F.col("other"), 2))))
+    work = work.unionByName(member.join(guests, "cell").withColumn("part", every("parts")).select(*row(-1 - F.col("part"), F.col("mine"), F.lit(1))))
+    guest = guest.join(guests, "cell").join(crowd, "cell").withColumn("blocks", blocks).withColumn("mine", every("blocks"))
+    work = stored(work.unionByName(guest.select(*row(-1 - F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"), F.col("mine"), F.lit(2)))))
+    wanted = work.select(F.col("place").alias("spot"), F.explode(F.array("x", "y")).alias("sid")).distinct()
+    source = limited(stored(wanted.select("sid").distinct().join(nodes.select("sid", "k", "docs"), "sid")))
+    texts = rows.join(source, "k").select("sid", "docs", "text").mapInArrow(first_rows, "sid long, docs long, text string")
+    texts = wanted.join(texts, "sid").select("spot", "sid", "docs", "text")
+    found = stored(work.groupBy("place").cogroup(texts.groupBy("spot")).applyInArrow(verifier(n, threshold), "sid long, root long, links long"))
+    return sets.select("k", "sid"), found
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """(k, root, links) of every row that has a set; root names the class."""
+    sets, found = linked_sets(docs, id_col, text_col, n, threshold)
+    roots = components(found, "sid", "root")
+    known = found.groupBy("sid").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    copies = sets.groupBy("sid").agg((F.count(F.lit(1)) - 1).alias("more"))
+    known = copies.join(known, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("more")).alias("links"))
+    return sets.join(known, "sid").select("k", "root", "links")
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, links) of every row."""
+    found = classes(docs, id_col, text_col, n, threshold).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("k")).join(found, "k", "left")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(first, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def near_stage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group of similar ones: that of the smallest identifier in each connected component."""
-    sets, good = similar_sets(docs, id_col, text_col, n, threshold)
-    roots = components(good, "a", "b").withColumnRenamed("node", "sid")
-    grouped = sets.join(roots, "sid", "left").select("doc_id", "k", F.coalesce("root", "sid").alias("root"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = grouped.join(best, "root").where("NOT (k = best.k AND doc_id <=> best.doc_id)").select("k", "doc_id").distinct()
-    return drop_rows(docs, gone, id_col, text_col)
+    """docs with one row of each class: that of the smallest identifier."""
+    found = classes(docs, id_col, text_col, n, threshold).select("k", F.col("root").alias("group")).distinct()
+    return keep_rows(docs, found, id_col, text_col)

@@ -15,7 +15,7 @@ def queries() -> dict:
         "op4_chat": lambda s, d: chat.canonical_turns(chat.as_records(table(s, d, "conversations"))),
         "op5_packing": lambda s, d: packing.pack(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.mix(docs(s, d)),
-        "op7_jaccard": lambda s, d: jaccard.pairs(docs(s, d)),
+        "op7_jaccard": lambda s, d: jaccard.links(docs(s, d)),
         "op8_exact": lambda s, d: exact.exact_duplicates(docs(s, d)),
         "op9_substring": lambda s, d: substring.passages(docs(s, d)),
         "op10_lm": lambda s, d: tokenlm.score(docs(s, d)),

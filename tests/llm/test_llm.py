@@ -42,7 +42,7 @@ def test_sql(spark, name):
 
 def test_empty_tables_give_empty_results(spark):
     none, labels = docs_of(spark, [(1, "x")]).where("false"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (puquality.quality(none, labels), puquality.quality_stage(none, labels), sstable.shards(none), canonical.fingerprints(none), packing.pack(none), mixing.mix(none), mixing.mix_stage(none), jaccard.join(none), jaccard.near_stage(none), exact.exact_duplicates(none), exact.exact_stage(none), substring.repeats(none), lm.score(none)):
+    for df in (puquality.quality(none, labels), puquality.quality_stage(none, labels), sstable.shards(none), canonical.fingerprints(none), packing.pack(none), mixing.mix(none), mixing.mix_stage(none), jaccard.links(none), jaccard.near_stage(none), exact.exact_duplicates(none), exact.exact_stage(none), substring.repeats(none), lm.score(none)):
         assert df.count() == 0
     assert chat.canonical_turns(spark.createDataFrame([], "conv_id long, record string")).count() == 0
 
@@ -204,38 +204,11 @@ def test_mixing_totals_and_edges(spark):
 # 7
 
 
-def brute_jaccard(rows, threshold=0.8):
-    sets, out = defaultdict(list), {}
-    for i, t in rows:
-        if words(t):
-            sets[frozenset(words(t))].append(i)
-    first = {s: min([i for i in ids if i is not None], default=None) for s, ids in sets.items()}
-    for s, ids in sets.items():
-        out.update({(first[s], i): 1.0 for i in ids if i != first[s]})
-    every = list(sets)
-    for at, a in enumerate(every):
-        for b in every[at + 1 :]:
-            if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and (j := len(a & b) / len(a | b)) >= threshold:
-                out[tuple(sorted((first[a], first[b])))] = round(j, 9)
-    return out
-
-
-def test_jaccard_join_is_exact(spark, texts):
-    rng = np.random.default_rng(2)
-    rows = list(texts.items())
-    for i in range(60):
-        text = words(texts[i])
-        rows.append((5000 + i, " ".join(w for w in text if rng.random() > 0.08)))
-    rows += [(6000 + i, " ".join(f"x{j}" for j in rng.choice(12, 9, replace=False))) for i in range(80)]
-    got = {(r.doc_a, r.doc_b): r.similarity for r in jaccard.join(docs_of(spark, rows)).collect()}
-    assert got == brute_jaccard(rows)
-
-
 def test_near_stage_keeps_one_of_a_group(spark):
     df = docs_of(spark, EDGE)
     kept = jaccard.near_stage(df)
     assert kept.columns == df.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, 3: 1, 7: 1, 4: 2, 5: 1, 6: 2})
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 2: 1, 3: 1, 7: 1, 4: 1, 5: 1, 6: 2})  # of repeated rows one stays
 
 
 def test_sketches_never_exclude_a_pair():
@@ -270,11 +243,26 @@ def test_exact_duplicates_through_many_memtables(spark, texts):
     assert Counter(kept) == Counter([*groups, None])
 
 
-def test_equal_digests_are_verified_by_bytes():
-    run = np.array([(1, 2, 5, 0), (1, 2, 6, 1), (3, 3, 7, 2)], exact.ENTRY)
-    other = np.array([(3, 3, 8, 3), (9, 9, 1, 4)], exact.ENTRY)
-    hits = exact.compact([run, other], [exact.build_filter(x["hi"], x["lo"]) for x in (run, other)])
-    assert hits["id"].tolist() == [5, 6, 7, 8]
+def test_compaction_gives_all_entries_of_repeated_digests():
+    rng = np.random.default_rng(3)
+    for count in (1, 2, 9, 70, 300):
+        runs = []
+        for _ in range(count):
+            run = np.zeros(40, exact.ENTRY)
+            run["hi"], run["lo"] = rng.integers(0, 60, 40), rng.integers(0, 60, 40)
+            run["a"] = rng.integers(0, 1 << 40, 40)
+            runs.append(exact.merged([run]))
+        every = np.concatenate(runs)
+        times = Counter(zip(every["hi"].tolist(), every["lo"].tolist()))
+        got = exact.compact(runs, [exact.build_filter(r["hi"], r["lo"]) for r in runs])
+        assert sorted(got.tolist()) == sorted(e for e in every.tolist() if times[e[:2]] > 1)
+
+
+def test_equal_digests_are_verified_by_bytes(spark):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, "c"), (None, "b"), (5, "longer"), (6, "longer")]
+    clash = lambda text: [F.length(text).cast("long"), F.lit(0).cast("long")]
+    assert sorted(map(tuple, exact.exact_duplicates(docs_of(spark, rows), digest=clash).collect()), key=repr) == [(3, 1), (6, 5), (None, 2)]
+    assert sorted(r.text for r in exact.exact_stage(docs_of(spark, rows), digest=clash).collect()) == ["a", "b", "c", "longer"]
 
 
 # 9
@@ -372,6 +360,7 @@ def test_tokens_and_prefixes():
 
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     import corpus_pipeline
+    from tests.llm.test_jaccard_pairs import brute_links
 
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
@@ -391,7 +380,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             i = parent[i]
         return i
 
-    for a, b in brute_jaccard([(r.doc_id, r.text) for r in seen[1]]):
+    for a, b in brute_links([(r.doc_id, r.text) for r in seen[1]])[1]:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     assert sorted(r.doc_id for r in seen[2]) == sorted({root(i) for i in parent})

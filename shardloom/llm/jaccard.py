@@ -52,8 +52,9 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels
 from .common import KEY_TYPE, components, keep_rows, limited, partitions, row_key, stored
@@ -64,11 +65,13 @@ NGRAM = 1
 THRESHOLD = 0.8
 BAND_STEP = 2  # a band begins every 1 / THRESHOLD ** BAND_STEP
 SLACK = 1.3  # segments for each one that is indexed
-COST_BUCKETS = 65536
+RARITY_BITS = 21
+RARITY_RANGES = 32
 BLOCK = 2048  # nodes of a cell in one place
 LARGE_CELL = 4096  # nodes from which a cell is one entry of a posting
 KEYS, KEY_GRAMS = 3, 4  # min-hash keys of a set, and the grams that make up one
 SIGNATURE_BYTES = 6
+SIZE_CODES = 50.5
 COMMON = 0.05  # chance that two unrelated documents agree on a token, for the allocation
 SKETCH_SHIFT = 20
 SIGNATURE_COST = 2e-3  # of a signature row, against a candidate
@@ -97,25 +100,41 @@ def set_ids(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def count_batches(n: int):
+    """Of each of RARITY_RANGES ranges of hash buckets the counts of its grams, compressed; range -1 counts sets."""
+
     def run(batches):
-        total, sets = np.zeros(COST_BUCKETS, np.int64), 0
+        total, sets = np.zeros(1 << RARITY_BITS, np.uint32), 0
         for batch in batches:
             for _, _, offsets, raw in kernels.chunks(batch.column(0)):
                 bounds, values = gram_sets(offsets, raw, n)
-                total += np.bincount((values >> U64(48)).astype(np.int64), minlength=COST_BUCKETS)
+                at, times = np.unique((values >> U64(64 - RARITY_BITS)).astype(np.int64), return_counts=True)
+                total[at] += times.astype(np.uint32)
                 sets += int((np.diff(bounds) > 0).sum())
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1].astype(np.int32)), pa.array(np.r_[total[at], sets])], names=["bucket", "n"])
+        cells = [zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for x in np.split(total, RARITY_RANGES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, np.arange(RARITY_RANGES)], pa.int32()), pa.array([np.array([sets], np.int64).tobytes(), *cells], pa.binary())], names=["range", "counts"])
 
     return run
 
 
+def sum_range(group: pa.Table) -> pa.Table:
+    """The counts of a range over all tasks: of sets as they are, of grams 4 times their logarithm."""
+    cells = group.column("counts").to_pylist()
+    if group.column("range")[0].as_py() < 0:
+        out = np.sum([np.frombuffer(x, np.int64) for x in cells], axis=0).tobytes()
+    else:
+        total = sum(np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64) for x in cells)
+        out = np.rint(4 * np.log2(total + 1)).astype(np.uint8).tobytes()
+    return pa.table({"range": group.column("range").slice(0, 1), "counts": pa.array([out], pa.binary())})
+
+
 def rarity(rows: DataFrame, n: int) -> np.ndarray:
-    """Of each of 65536 hash buckets, 16 times the log of how rare its grams are in the corpus (of fixed size, so collected)."""
-    counted = rows.select("text").mapInArrow(count_batches(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COST_BUCKETS + 1, np.int64)
-    counts[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return np.rint(16 * np.log2((counts[-1] + 1) / (counts[:-1] + 1))).clip(0).astype(np.int64)
+    """Of each of 2 ** RARITY_BITS hash buckets, 4 times the log of how rare its grams are in the corpus (2 MB whatever the corpus, so collected)."""
+    schema = "range int, counts binary"
+    found = {r["range"]: bytes(r["counts"]) for r in rows.select("text").mapInArrow(count_batches(n), schema).groupBy("range").applyInArrow(sum_range, schema).collect()}
+    if not found:
+        return np.zeros(1 << RARITY_BITS, np.uint8)
+    logs = np.frombuffer(b"".join(found[r] for r in range(RARITY_RANGES)), np.uint8).astype(np.int64)
+    return (round(4 * np.log2(np.frombuffer(found[-1], np.int64)[0] + 1)) - logs).clip(0, 255).astype(np.uint8)
 
 
 def allocate(low: int, high: int, budget: int) -> tuple[int, int]:
@@ -190,7 +209,7 @@ def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands:
         if ones:
             # Differences left if no segment with deletions meets: each of these then has at least two.
             differ = np.maximum(-1, bands.differences(size + np.minimum(np.floor(size / bands.t + 1e-9), high)) - 2 * twos)
-            cost = np.bincount(key, rare[(v >> U64(48)).astype(np.int64)], total).astype(np.int64)
+            cost = np.bincount(key, rare[(v >> U64(64 - RARITY_BITS)).astype(np.int64)], total).astype(np.int64)
             exact = np.flatnonzero((np.arange(total) % count) >= twos)
             row_of, sig = exact // count, kernels.mix(content[exact] ^ name[exact])
             order = np.lexsort((sig, -cost[exact], row_of))
@@ -204,9 +223,9 @@ def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands:
 
 
 def sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
-    """Of each row the parity of its grams in a power of two of bits, about as many as it has grams, and 64 at least."""
+    """Of each row the parity of its grams in a power of two of bits, half as many as it has grams or up to all, and 64 at least."""
     size = np.diff(bounds)
-    bits = 64 << np.rint(np.log2(np.maximum(1, size / 64))).astype(np.int64)
+    bits = 64 << np.rint(np.log2(np.maximum(1, size / 90))).astype(np.int64)
     begin = np.r_[0, np.cumsum(bits)]
     row = np.repeat(np.arange(len(size)), size)
     place = begin[row] + ((values >> U64(SKETCH_SHIFT)) & (bits[row] - 1).astype(U64)).astype(np.int64)
@@ -221,7 +240,7 @@ def cell_keys(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray) -> np.nd
     out = np.zeros((len(size), KEYS), U64)
     if not len(some):
         return out
-    weight = rare[(values >> U64(48)).astype(np.int64)] + 1e-3
+    weight = rare[(values >> U64(64 - RARITY_BITS)).astype(np.int64)] + 1e-3
     begin, row = bounds[:-1][some], np.repeat(np.arange(len(some)), size[some])
     for key in range(KEYS):
         name = np.full(len(some), U64(key + 1))
@@ -418,6 +437,19 @@ def verifier(n: int, threshold: float):
     return verify
 
 
+def size_code(size: str) -> Column:
+    """A number from 1 to 1023 that grows by one for every 2 % of size."""
+    return F.least(F.lit(1023), F.floor(F.log(F.col(size).cast("double")) * SIZE_CODES) + 1).cast("long")
+
+
+def meeting(nodes: str, threshold: float) -> Column:
+    """The entries of a list that have one of another cell and a size near theirs; long lists are left as they are."""
+    apart = math.ceil(-math.log(threshold) * SIZE_CODES) + 1
+    cell, code = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(1023))
+    near = lambda x, y: (cell(x) != cell(y)) & ((code(x) == 0) | (code(y) == 0) | (F.abs(code(x) - code(y)) <= apart))
+    return F.when(F.size(nodes) <= 64, F.filter(nodes, lambda x: F.exists(nodes, lambda y: near(x, y)))).otherwise(F.col(nodes))
+
+
 def cells_of(nodes: DataFrame) -> DataFrame:
     """(sid, cell): nodes that share a key, or share one with a node that does, mostly get one cell; cells are numbers of 32 bits."""
     keys = nodes.select("sid", F.explode("keys").alias("key"))
@@ -438,15 +470,15 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = sets.groupBy("sid").agg(F.count(F.lit(1)).alias("docs"), F.min("k").alias("k"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     nodes = stored(nodes.join(cells_of(nodes), "sid").drop("keys"))
     crowd = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("crowd"))
-    # An entry has its cell in the upper half; where two sets of a cell coincide in the lower half, both are candidates.
+    # An entry has its cell in the upper half, then bits of the set's name and its size; where two sets of a cell coincide, both are candidates.
     nodes = nodes.join(crowd.where("crowd > 1"), "cell", "left").withColumn("crowd", F.coalesce("crowd", F.lit(1)))
-    entry = F.when(F.col("crowd") >= LARGE_CELL, F.shiftleft(F.col("cell").cast("long"), 32)).otherwise(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.col("sid").bitwiseAND((1 << 32) - 1)))
+    entry = F.when(F.col("crowd") >= LARGE_CELL, F.shiftleft(F.col("cell").cast("long"), 32)).otherwise(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("sid").bitwiseAND((1 << 22) - 1), 10)).bitwiseOR(size_code("size")))
     nodes = stored(nodes.withColumn("node", entry))
     signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sigs binary").groupBy("sid").agg(F.first("sigs").alias("sigs"))
     entries = signed.join(nodes.select("sid", "node"), "sid").select("node", "sigs").mapInArrow(entry_batches, "sig long, node long")
     posts = entries.groupBy("sig").agg(F.collect_set("node").alias("nodes")).where(F.shiftright(F.array_min("nodes"), 32) != F.shiftright(F.array_max("nodes"), 32))
     # The same nodes meet under many signatures: each list is expanded once.
-    lists = posts.select(F.array_sort("nodes").alias("nodes")).distinct().select(F.xxhash64("nodes").alias("post"), F.explode("nodes").alias("node"))
+    lists = posts.select(F.array_sort("nodes").alias("nodes")).distinct().select(meeting("nodes", threshold).alias("nodes")).where("size(nodes) > 1").select(F.xxhash64("nodes").alias("post"), F.explode("nodes").alias("node"))
     told = nodes.where(F.col("crowd") < LARGE_CELL).select("node", F.col("sid"), "cell", "size", "sketch")
     large = nodes.where(F.col("crowd") >= LARGE_CELL).select("node", F.lit(None).cast("long").alias("sid"), "cell", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("sketch")).distinct()
     described = lists.join(told.unionByName(large), "node").groupBy("post").agg(F.collect_list(F.struct("node", "cell", "size", F.coalesce("sketch", F.lit(b"")))).alias("list"))

@@ -13,15 +13,15 @@ rows and not their square, and nothing is capped.
 
 A repeat is a maximal run of tokens in which every window of MIN_TOKENS tokens
 occurs at another place (of this or another document).  Windows are compared by
-64-bit hashes of the whole window.  ``repeats`` gives these runs.  ``passages``
-splits them where the set of matching places changes, so that each piece has one
-list of places which all hold the whole piece.
-
-Defined results: null, empty and short texts have no repeats; a null identifier
-takes part and is given as null; repeated rows (same identifier and text) are
-one document; two texts with one identifier are two documents; in a run of one
-repeated token every place matches its neighbours; an empty table gives an empty
-result; other columns are ignored.
+64-bit hashes of the whole window.  Runs are cut where the set of matching places
+changes, so all places of a piece hold the whole piece.
+
+Defined results: null, empty and short texts have no repeats; very long texts are
+taken whole; a null identifier takes part and is given as null; identifiers keep
+their type; repeated rows (same identifier and text) are one document; two texts
+with one identifier are two documents; in a run of one repeated token every place
+matches its neighbours; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
-from .common import partitions, row_key, shared_folder
+from .common import limited, partitions, row_key, stored
 from .kernels import U64
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,36 +135,6 @@ def last_equal(anchor: np.ndarray, least: np.ndarray, starts: np.ndarray, w: int
     return found
 
 
-def extend(group: pa.Table) -> pa.Table:
-    """Runs of windows that have a second place: (doc_id, k, first window, windows, another document)."""
-    group = group.combine_chunks()
-    column = group.column("windows").chunk(0)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 8
-    windows = np.frombuffer(column.buffers()[2], U64)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    row = np.repeat(np.arange(len(column)), np.diff(offsets))
-    start = group.column("start").to_numpy()[row] + np.arange(len(windows)) - offsets[row]
-    key = group.column("k").to_numpy()[row]
-    ids = group.column("doc_id").fill_null(np.iinfo(np.int64).max).to_numpy()[row]
-    order = np.lexsort((start, key, ids, windows))
-    row, start, key, ids, windows = row[order], start[order], key[order], ids[order], windows[order]
-    new = np.r_[True, (windows[1:] != windows[:-1]) | (ids[1:] != ids[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1])]  # repeated rows are one
-    row, start, key, ids, windows = row[new], start[new], key[new], ids[new], windows[new]
-    head = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])
-    count = np.diff(np.r_[head, len(windows)])
-    first, last = np.repeat(ids[head], count), np.repeat(ids[head + count - 1], count)
-    other = np.where(ids != first, first, last)
-    many = np.repeat(count, count) > 1
-    row, start, key, ids, other = row[many], start[many], key[many], ids[many], other[many]
-    order = np.lexsort((start, key, ids))
-    start, key, ids, other = start[order], key[order], ids[order], other[order]
-    cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)]) if len(start) else np.zeros(0, int)
-    none = np.iinfo(np.int64).max
-    length = np.diff(np.r_[cut, len(start)])
-    best = np.minimum.reduceat(other, cut) if len(cut) else other
-    return pa.table({"doc_id": pa.array(ids[cut], mask=ids[cut] == none), "k": pa.array(key[cut], pa.int64()), "first": pa.array(start[cut], pa.int32()), "windows": pa.array(length, pa.int32()), "other": pa.array(best, pa.int64(), mask=best == none)})
-
-
 def extend_places(group: pa.Table) -> pa.Table:
     """Runs of windows whose places all move on together: (doc_id, k, first window, windows, shape of the set of places, distance to its first place).
 
@@ -200,42 +170,32 @@ def extend_places(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[cut], mask=ids[cut] == none), "k": pa.array(key[cut], pa.int64()), "first": pa.array(start[cut], pa.int32()), "windows": pa.array(length, pa.int32()), "shape": pa.array(shape[cut].view(np.int64)), "away": pa.array(away[cut], pa.int64())})
 
 
-def shared_windows(docs: DataFrame, id_col: str, text_col: str, k: int, w: int) -> DataFrame:
-    """(anchor, doc_id, k, start, windows, bucket) around the anchors that lie in several places."""
-    spark = docs.sparkSession
-    shared_folder(spark)
-    rows = docs.where(F.length(text_col) >= k + w - 1).select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("k"), F.lower(text_col).alias("text"))
+def shared_windows(rows: DataFrame, k: int, w: int) -> DataFrame:
+    """(anchor, doc_id, k, start, windows, bucket) around the anchors that lie in several places of rows(doc_id, k, text)."""
     seeds = rows.mapInArrow(seed_batches(k, w), "doc_id long, k long, at int, anchor long")
-    shared = seeds.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("places > 1")
-    places = shared.groupBy(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k")).agg(F.collect_set("at").alias("seeds"))
-    texts = rows.join(places, (rows.k == places.s_k) & rows.doc_id.eqNullSafe(places.s_id)).select("doc_id", "k", "text", "seeds")
+    shared = limited(stored(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")))
+    places = seeds.join(shared, "anchor").groupBy(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k")).agg(F.collect_set("at").alias("seeds"))
+    texts = rows.join(places, (rows.k == places.s_k) & (rows.doc_id == places.s_id)).select("doc_id", "k", "text", "seeds")
     windows = texts.mapInArrow(window_batches(k, w), "anchor long, doc_id long, k long, start int, windows binary")
-    return windows.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(4 * partitions(spark))))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = ANCHOR_TOKENS, w: int = ANCHOR_SPREAD) -> DataFrame:
-    """(doc_id, start, tokens, other_id): the maximal repeats of k + w - 1 tokens or more; start counts tokens, other_id has the same passage."""
-    windows = shared_windows(docs, id_col, text_col, k, w)
-    runs = windows.groupBy("bucket").applyInArrow(extend, "doc_id long, k long, first int, windows int, other long")
-    # Runs from neighbouring anchors that touch are one repeat.
-    document = Window.partitionBy("doc_id", "k").orderBy("first")
-    reach = F.max(F.col("first") + F.col("windows")).over(document.rowsBetween(Window.unboundedPreceding, -1))
-    joined = runs.withColumn("new", (F.coalesce(reach < F.col("first"), F.lit(True))).cast("int")).withColumn("island", F.sum("new").over(document))
-    found = joined.groupBy("doc_id", "k", "island").agg(F.min("first").alias("start"), F.max(F.col("first") + F.col("windows")).alias("end"), F.min("other").alias("other_id"))
-    return found.select("doc_id", "start", (F.col("end") - F.col("start") + (k + w - 2)).alias("tokens"), "other_id")
+    return windows.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(4 * partitions(rows.sparkSession))))
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = ANCHOR_TOKENS, w: int = ANCHOR_SPREAD) -> DataFrame:
-    """(tokens, places): the passages of k + w - 1 tokens or more that lie in several places, with all (doc_id, start) that hold the whole passage.
+    """(doc_id, start, tokens, passage, places): where each passage of k + w - 1 tokens or more lies that has several places.
 
-    A passage ends where the set of its places would change.  Every window belongs to one passage, so the result is never larger than the texts.
+    passage names it, places counts its places.  A passage ends where the set of its places would change, so every place that has its name
+    holds the whole of it.  Every window belongs to one passage, so the result is never larger than the texts.
     """
-    runs = shared_windows(docs, id_col, text_col, k, w).groupBy("bucket").applyInArrow(extend_places, "doc_id long, k long, first int, windows int, shape long, away long")
+    key = row_key(id_col, text_col)
+    rows = docs.where(F.length(f"`{text_col}`") >= k + w - 1).select(key["a"].alias("doc_id"), key["b"].alias("k"), F.lower(f"`{text_col}`").alias("text"))
+    runs = shared_windows(rows, k, w).groupBy("bucket").applyInArrow(extend_places, "doc_id long, k long, first int, windows int, shape long, away long")
     # Runs from neighbouring anchors that touch and have the same places are one.
     document = Window.partitionBy("doc_id", "k").orderBy("first")
     before = lambda x: F.lag(x).over(document)
     same = (before(F.col("first") + F.col("windows")) == F.col("first")) & (before("shape") == F.col("shape")) & (before("away") == F.col("away"))
     joined = runs.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("island", F.sum("new").over(document))
     found = joined.groupBy("doc_id", "k", "island").agg(F.min("first").alias("start"), F.sum("windows").alias("windows"), F.first("shape").alias("shape"), F.first("away").alias("away"))
-    places = found.groupBy("shape", (F.col("start") - F.col("away")).alias("at"), "windows").agg(F.array_sort(F.collect_list(F.struct("doc_id", "start"))).alias("places"))
-    return places.select((F.col("windows") + (k + w - 2)).cast("int").alias("tokens"), "places")
+    named = stored(found.select(F.struct(F.col("doc_id").alias("a"), F.col("k").alias("b")).alias("key"), "start", (F.col("windows") + (k + w - 2)).cast("int").alias("tokens"), F.hex(F.xxhash64("shape", F.col("start") - F.col("away"), "windows")).alias("passage")))
+    counted = named.groupBy("passage").agg(F.count(F.lit(1)).alias("places"))
+    ids = docs.select(key.alias("key"), F.col(f"`{id_col}`").alias("doc_id")).join(limited(named.select("key").distinct()), "key", "left_semi").distinct()
+    return named.join(counted, "passage").join(ids, "key").select("doc_id", "start", "tokens", "passage", "places")

@@ -29,7 +29,11 @@ def brute_passages(rows, size=substring.MIN_TOKENS):
 
 
 def given(df):
-    return Counter((r.tokens, tuple(sorted(map(tuple, r.places), key=repr))) for r in df.collect())
+    found = defaultdict(list)
+    for r in df.collect():
+        found[r.passage, r.tokens, r.places].append((r.doc_id, r.start))
+    assert all(len(p) == n for (_, _, n), p in found.items())
+    return Counter((tokens, tuple(sorted(p, key=repr))) for (_, tokens, _), p in found.items())
 
 
 def test_each_passage_names_the_places_that_hold_it(spark):

@@ -42,7 +42,7 @@ def test_sql(spark, name):
 
 def test_empty_tables_give_empty_results(spark):
     none, labels = docs_of(spark, [(1, "x")]).where("false"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    for df in (puquality.quality(none, labels), puquality.quality_stage(none, labels), sstable.shards(none), canonical.fingerprints(none), packing.pack(none), mixing.mix(none), mixing.mix_stage(none), jaccard.links(none), jaccard.near_stage(none), exact.exact_duplicates(none), exact.exact_stage(none), substring.repeats(none), lm.score(none)):
+    for df in (puquality.quality(none, labels), puquality.quality_stage(none, labels), sstable.shards(none), canonical.fingerprints(none), packing.pack(none), mixing.mix(none), mixing.mix_stage(none), jaccard.links(none), jaccard.near_stage(none), exact.exact_duplicates(none), exact.exact_stage(none), substring.passages(none), lm.score(none)):
         assert df.count() == 0
     assert chat.canonical_turns(spark.createDataFrame([], "conv_id long, record string")).count() == 0
 
@@ -265,89 +265,6 @@ def test_equal_digests_are_verified_by_bytes(spark):
     assert sorted(r.text for r in exact.exact_stage(docs_of(spark, rows), digest=clash).collect()) == ["a", "b", "c", "longer"]
 
 
-# 9
-
-
-def brute_repeats(rows, size):
-    docs = sorted(set(rows), key=repr)
-    places = defaultdict(list)
-    for d, (_, t) in enumerate(docs):
-        w = words(t)
-        for at in range(len(w) - size + 1):
-            places[tuple(w[at : at + size])].append((d, at))
-    marked = defaultdict(set)
-    for p in places.values():
-        if len(p) > 1:
-            for d, at in p:
-                marked[d].add(at)
-    out = Counter()
-    for d, starts in marked.items():
-        for at in starts:
-            if at - 1 not in starts:
-                end = at
-                while end + 1 in starts:
-                    end += 1
-                out[(docs[d][0], at, end - at + size)] += 1
-    return out
-
-
-def test_repeats_are_exact(spark, texts):
-    rng = np.random.default_rng(8)
-    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
-    passage = fresh(60)
-    rows = list(texts.items())[:120]
-    rows += [(7000 + i, " ".join(fresh(30) + passage + fresh(20))) for i in range(5)]
-    rows += [(7100, " ".join(passage[:49])), (7101, " ".join(passage[5:55] + passage[5:55])), (7102, " ".join(["same"] * 120)), *EDGE]
-    got = Counter((r.doc_id, r.start, r.tokens) for r in substring.repeats(docs_of(spark, rows)).collect())
-    assert got == brute_repeats(rows, substring.MIN_TOKENS)
-
-
-# 10
-
-
-def test_model_is_a_distribution_and_scores_add_up(spark, texts):
-    rows = [*texts.items(), *EDGE]
-    df = docs_of(spark, rows)
-    model = lm.fit(df)
-    logs = lm.log_table(model).astype(float)
-    assert np.allclose((2**logs).reshape(-1, lm.SYMBOLS).sum(axis=1)[model["context"][3] > 0], 1, atol=1e-3)
-    assert np.allclose(model["weights"].sum(axis=1), 1)
-    got = {(r.doc_id, r.symbols): r for r in lm.score(df).collect()}
-    for i, t in rows[:40]:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        symbols, total = [lm.START] * 3 + lm.SYMBOL_OF[raw].tolist(), 0.0
-        for at in range(3, len(symbols)):
-            a, b, c, d = symbols[at - 3 : at + 1]
-            total += logs[((a * 64 + b) * 64 + c) * 64 + d]
-        assert abs(got[(i, len(raw))].log2_probability - total) < 1e-3
-    assert got[(1, 0)].bits_per_symbol is None
-
-
-def test_unseen_text_scores_better_than_its_letters_shuffled(spark, texts):
-    rng = np.random.default_rng(1)
-    unseen = [t for i, t in texts.items() if i % 5 == 0 and len(t) > 200 and not any(t == u for j, u in texts.items() if j % 5)]
-    logs = lm.log_table(lm.fit(docs_of(spark, [(i, t) for i, t in texts.items() if i % 5])))
-    bits = lambda raw: -logs[lm.codes(np.array([0, len(raw)]), raw)].mean()
-    for t in unseen:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        assert bits(raw) + 0.5 < bits(rng.permutation(raw))
-
-
-def test_expectation_maximisation_raises_the_likelihood():
-    rng = np.random.default_rng(2)
-    train, test = (np.unique(rng.zipf(1.3, n) % 4096, return_counts=True) for n in (5000, 800))
-    before, rounds = None, lm.ROUNDS
-    try:
-        for lm.ROUNDS in (0, 1, 5, 30):
-            model = lm.mixture(train[0].astype(np.int64), train[1].astype(float), test[0].astype(np.int64), test[1].astype(float))
-            parts, bucket = lm.estimates(model, test[0].astype(np.int64))
-            now = (test[1] * np.log2((parts * model["weights"][bucket]).sum(axis=1))).sum()
-            assert before is None or now >= before - 1e-6
-            before = now
-    finally:
-        lm.ROUNDS = rounds
-
-
 # pipeline
 
 

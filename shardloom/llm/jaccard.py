@@ -21,9 +21,11 @@ Nothing that is shuffled grows with the square of a group of near copies:
   a cell every pair is verified in place, without signatures; so postings of one
   cell are dropped, and a large cell is one entry of a posting, however many
   members it has.  Any cells give the same result; good ones are only cheaper.
-* Candidates of different cells are checked by size and parity sketch while their
-  posting is expanded (a bit differs only if an odd number of grams does, so the
-  sketches bound the symmetric difference from below); survivors alone move.
+* Entries tell sizes, so sets that are too far apart in size aren't paired.  A set
+  indexes AGREE - 1 segments more than it must; similar sets then meet AGREE times,
+  and pairs that meet less often go before anything is read of them.
+* The rest are checked by parity sketch (a bit differs only if an odd number of
+  grams does, so sketches bound the symmetric difference from below).
 * A cell's texts travel to one place; a cell of more than ``BLOCK`` nodes is cut
   into blocks, and each pair of blocks is a place of its own.
 * A place returns, for each node, its number of links and the smallest node it is
@@ -72,6 +74,7 @@ LARGE_CELL = 4096  # nodes from which a cell is one entry of a posting
 KEYS, KEY_GRAMS = 3, 4  # min-hash keys of a set, and the grams that make up one
 SIGNATURE_BYTES = 6
 SIZE_CODES = 50.5
+AGREE = 4  # at most 7
 COMMON = 0.05  # chance that two unrelated documents agree on a token, for the allocation
 SKETCH_SHIFT = 20
 SIGNATURE_COST = 2e-3  # of a signature row, against a candidate
@@ -180,6 +183,16 @@ class Bands:
             yield band, member, *self.known[band]
 
 
+def meetings(spare: int) -> int:
+    """How many equal segments to ask for, if so many beyond the differences can be indexed: a divisor of AGREE."""
+    return max(m for m in range(1, AGREE + 1) if AGREE % m == 0 and m <= max(1, spare))
+
+
+def weighted(sig: np.ndarray, weight: int) -> np.ndarray:
+    """Signatures with their weight in the lowest bits: similar sets of a band meet under weights of AGREE in all."""
+    return (sig & ~U64(7)) | U64(weight)
+
+
 def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of everything the rows index."""
     sizes, rows_out, sigs_out = np.diff(bounds), [], []
@@ -205,27 +218,29 @@ def signatures(bounds: np.ndarray, values: np.ndarray, rare: np.ndarray, bands:
             two = np.flatnonzero(segment < twos)
             whole = (np.arange(total) % count) < twos
             rows_out += [member[np.flatnonzero(whole) // count], member[row[two]]]
-            sigs_out += [kernels.mix(content[whole] ^ name[whole]), kernels.mix((content[key[two]] - v[two]) ^ name[key[two]])]
+            sigs_out += [weighted(kernels.mix(x), AGREE) for x in (content[whole] ^ name[whole], (content[key[two]] - v[two]) ^ name[key[two]])]
         if ones:
             # Differences left if no segment with deletions meets: each of these then has at least two.
+            # AGREE segments more are indexed where the band has them: similar sets then meet that often.
             differ = np.maximum(-1, bands.differences(size + np.minimum(np.floor(size / bands.t + 1e-9), high)) - 2 * twos)
             cost = np.bincount(key, rare[(v >> U64(64 - RARITY_BITS)).astype(np.int64)], total).astype(np.int64)
             exact = np.flatnonzero((np.arange(total) % count) >= twos)
             row_of, sig = exact // count, kernels.mix(content[exact] ^ name[exact])
             order = np.lexsort((sig, -cost[exact], row_of))
             rank = np.arange(len(exact)) - row_of * ones
-            keep = order[rank < np.minimum(differ + 1, ones)[row_of]]
+            meet = 1 if twos else meetings(ones - int(differ.max()))
+            keep = order[rank < np.minimum(differ + meet, ones)[row_of]]
             rows_out.append(member[row_of[keep]])
-            sigs_out.append(sig[keep])
+            sigs_out.append(weighted(sig[keep], AGREE // meet))
     if not rows_out:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     return np.concatenate(rows_out), np.concatenate(sigs_out)
 
 
 def sketches(bounds: np.ndarray, values: np.ndarray) -> list[bytes]:
-    """Of each row the parity of its grams in a power of two of bits, half as many as it has grams or up to all, and 64 at least."""
+    """Of each row the parity of its grams in a power of two of bits, about as many as it has grams, and 64 at least."""
     size = np.diff(bounds)
-    bits = 64 << np.rint(np.log2(np.maximum(1, size / 90))).astype(np.int64)
+    bits = 64 << np.rint(np.log2(np.maximum(1, size / 64))).astype(np.int64)
     begin = np.r_[0, np.cumsum(bits)]
     row = np.repeat(np.arange(len(size)), size)
     place = begin[row] + ((values >> U64(SKETCH_SHIFT)) & (bits[row] - 1).astype(U64)).astype(np.int64)
@@ -321,31 +336,45 @@ def near_enough(a: np.ndarray, b: np.ndarray, size: np.ndarray, offsets: np.ndar
     return keep
 
 
-def candidate_batches(threshold: float):
-    """(a, b): the nodes of different cells that share a posting and may be similar; a large cell is its own negative."""
+def meeting_batches(threshold: float):
+    """(a, b, weight): the nodes of different cells and near sizes that share a posting."""
+    apart = size_distance(threshold)
 
     def run(batches):
-        bands = Bands(threshold)
         for batch in batches:
-            lists = batch.column(0)
-            entries = lists.flatten()
-            node, cell, size = (entries.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            offsets, raw = kernels.string_parts(entries.field(3))
-            cuts = np.asarray(lists.offsets)
-            end = np.repeat(cuts[1:] - cuts[0], np.diff(cuts))
-            at, step = np.arange(len(node)), 1
+            lists, weight = batch.column(0), batch.column(1).to_numpy()
+            node, cuts = lists.flatten().to_numpy(), np.asarray(lists.offsets)
+            cell, code = node >> 32, node & 1023
+            end, weight = np.repeat(cuts[1:] - cuts[0], np.diff(cuts)), np.repeat(weight, np.diff(cuts))
+            at, step, held, rows = np.arange(len(node)), 1, [], 0
             while True:
                 at = at[at + step < end[at]]  # pairs of entries ``step`` apart, for every posting at once
                 if not len(at):
                     break
-                a, b = at[cell[at] != cell[at + step]], None
-                b = a + step
-                keep = near_enough(a, b, size, offsets, raw, threshold, bands)
-                x, y = node[a[keep]], node[b[keep]]
-                if len(x):
-                    pair = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-                step += 1
+                near = (cell[at] != cell[at + step]) & ((code[at] == 0) | (code[at + step] == 0) | (np.abs(code[at] - code[at + step]) <= apart))
+                a, b = node[at[near]], node[at[near] + step]
+                held.append((np.minimum(a, b), np.maximum(a, b), np.where((code[at[near]] == 0) | (code[at[near] + step] == 0), AGREE, weight[at[near]])))
+                rows, step = rows + len(a), step + 1
+                if rows > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b", "weight"])
+                    held, rows = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b", "weight"])
+
+    return run
+
+
+def near_batches(threshold: float):
+    """(a, b) of the pairs that their sizes and sketches don't exclude; one without a sketch isn't excluded."""
+
+    def run(batches):
+        bands = Bands(threshold)
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            size, n = np.concatenate([a, b]), batch.num_rows
+            (left, x), (right, y) = (kernels.string_parts(batch.column(i)) for i in (4, 5))
+            keep = near_enough(np.arange(n), np.arange(n) + n, size, np.concatenate([left, left[-1] + right[1:]]), np.concatenate([x, y]), threshold, bands)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return run
 
@@ -442,9 +471,14 @@ def size_code(size: str) -> Column:
     return F.least(F.lit(1023), F.floor(F.log(F.col(size).cast("double")) * SIZE_CODES) + 1).cast("long")
 
 
+def size_distance(threshold: float) -> int:
+    """How far apart the size codes of similar sets can be."""
+    return math.ceil(-math.log(threshold) * SIZE_CODES) + 1
+
+
 def meeting(nodes: str, threshold: float) -> Column:
     """The entries of a list that have one of another cell and a size near theirs; long lists are left as they are."""
-    apart = math.ceil(-math.log(threshold) * SIZE_CODES) + 1
+    apart = size_distance(threshold)
     cell, code = (lambda x: F.shiftright(x, 32)), (lambda x: x.bitwiseAND(1023))
     near = lambda x, y: (cell(x) != cell(y)) & ((code(x) == 0) | (code(y) == 0) | (F.abs(code(x) - code(y)) <= apart))
     return F.when(F.size(nodes) <= 64, F.filter(nodes, lambda x: F.exists(nodes, lambda y: near(x, y)))).otherwise(F.col(nodes))
@@ -477,14 +511,16 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sigs binary").groupBy("sid").agg(F.first("sigs").alias("sigs"))
     entries = signed.join(nodes.select("sid", "node"), "sid").select("node", "sigs").mapInArrow(entry_batches, "sig long, node long")
     posts = entries.groupBy("sig").agg(F.collect_set("node").alias("nodes")).where(F.shiftright(F.array_min("nodes"), 32) != F.shiftright(F.array_max("nodes"), 32))
-    # The same nodes meet under many signatures: each list is expanded once.
-    lists = posts.select(F.array_sort("nodes").alias("nodes")).distinct().select(meeting("nodes", threshold).alias("nodes")).where("size(nodes) > 1").select(F.xxhash64("nodes").alias("post"), F.explode("nodes").alias("node"))
-    told = nodes.where(F.col("crowd") < LARGE_CELL).select("node", F.col("sid"), "cell", "size", "sketch")
-    large = nodes.where(F.col("crowd") >= LARGE_CELL).select("node", F.lit(None).cast("long").alias("sid"), "cell", F.lit(0).alias("size"), F.lit(None).cast("binary").alias("sketch")).distinct()
-    described = lists.join(told.unionByName(large), "node").groupBy("post").agg(F.collect_list(F.struct("node", "cell", "size", F.coalesce("sketch", F.lit(b"")))).alias("list"))
-    pairs = stored(described.select("list").mapInArrow(candidate_batches(threshold), "a long, b long").distinct())
+    posts = posts.select(meeting("nodes", threshold).alias("nodes"), F.col("sig").bitwiseAND(7).alias("weight")).where("size(nodes) > 1")
+    met = posts.mapInArrow(meeting_batches(threshold), "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    met = stored(met.where(F.col("weight") >= AGREE).select("a", "b"))
+    large = nodes.where(F.col("crowd") >= LARGE_CELL).select("node", "cell").distinct()
+    told = nodes.where(F.col("crowd") < LARGE_CELL).select("node", "size", "sketch").unionByName(large.select("node", F.lit(0).alias("size"), F.lit(b"").alias("sketch")))
+    said = lambda x: told.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))
+    described = met.join(said("a"), "a").join(said("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch")
+    pairs = stored(described.mapInArrow(near_batches(threshold), "a long, b long").distinct())
     # Back to sets.  A pair with a large cell stands for all its members: the other side is a guest of the cell.
-    few, many, host = nodes.where(F.col("crowd") < LARGE_CELL), nodes.where(F.col("crowd") >= LARGE_CELL), large.select("node", "cell")
+    few, many, host = nodes.where(F.col("crowd") < LARGE_CELL), nodes.where(F.col("crowd") >= LARGE_CELL), large
     side = lambda df, x: df.withColumnRenamed("node", x)
     few, many = few.select("node", "sid", "cell"), many.select("node", "sid")
     single = pairs.join(side(few, "a"), "a").withColumnRenamed("sid", "x").join(side(few.select("node", F.col("sid").alias("y")), "b"), "b").select("cell", "x", "y")

@@ -20,7 +20,7 @@ fingerprints.  Then a chunk has all it needs.  Fingerprints have ``SPARE_BITS``
 bits more than the logarithm of the corpus's tokens, so an n-gram coincides with
 another with odds of 2 ** -SPARE_BITS whatever the size.
 
-For the weights, estimates are rounded to an ``1 / OCTAVE`` of an octave, so equal
+For the weights, estimates are rounded to ``1 / OCTAVE`` of an octave, so equal
 ones can be counted; scores are exact.
 
 Defined results: texts without tokens (null, empty, blank) have 0 tokens and a
@@ -50,10 +50,10 @@ ORDER = 3
 HELD_OUT = 10  # one part of so many
 BUCKETS = 24
 ROUNDS = 30
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SPARE_BITS = 16
 PLACE_GRAMS = 8_000_000
-OCTAVE = 8
+OCTAVE = 2
 START, END = U64(1), U64(2)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -172,19 +172,18 @@ def answer(group: pa.Table) -> pa.Table:
     return pa.table({"chunk": group.column("chunk"), "held": group.column("held"), "place": group.column("place"), "totals": cells[0], "apart": cells[1], "words": pa.array(words)})
 
 
-def counts_of(chunk: dict, answers: pa.Table, bits: int) -> tuple[np.ndarray, list, list]:
-    """(row of each event, counts of orders 1 to 3, those of held-out documents) of a chunk."""
+def counts_of(chunk: dict, answers: pa.Table, bits: int, columns: tuple) -> tuple:
+    """(row of each event, and for each column of the answers the counts of orders 1 to 3) of a chunk."""
     row, history = events(*opened(chunk["lengths"], chunk["texts"]))
-    own = fingerprints(history, bits)
-    grams = np.unique(np.concatenate(own))
-    answers = answers.sort_by("place")
+    grams, at = np.unique(np.concatenate(fingerprints(history, bits)), return_inverse=True)
+    answers, places = answers.sort_by("place"), np.split(at, ORDER)
     out = []
-    for column in ("totals", "apart"):
+    for column in columns:
         cells = [unpacked(x) for x in answers.column(column).to_pylist()]
         total = np.concatenate(cells).astype(np.float64) if cells else np.zeros(0)
         if len(total) != len(grams):
             raise RuntimeError("a chunk got other answers than it asked for")
-        out.append([total[np.searchsorted(grams, g)] for g in own])
+        out.append([total[x] for x in places])
     return row, *out
 
 
@@ -225,7 +224,7 @@ def held_counts(bits: int, size: dict, vocabulary: int, deleted: bool):
     """(bucket, rounded estimates, how often) of the events of a chunk."""
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        row, total, apart = counts_of(chunks.slice(0, 1).to_pylist()[0], answers, bits)
+        row, total, apart = counts_of(chunks.slice(0, 1).to_pylist()[0], answers, bits, ("totals", "apart"))
         counts = total if deleted else [t - a for t, a in zip(total, apart)]
         bucket, parts = mixture_parts(row, counts, size["events"], size["docs"], vocabulary, int(deleted))
         key = np.column_stack([bucket.astype(np.int16), rounded(parts[:, 1:])])
@@ -239,7 +238,7 @@ def held_counts(bits: int, size: dict, vocabulary: int, deleted: bool):
 def scorer(bits: int, size: dict, vocabulary: int, weights: np.ndarray):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         ids = chunks.column("ids").combine_chunks().flatten()
-        row, total, _ = counts_of(chunks.select(["lengths", "texts"]).slice(0, 1).to_pylist()[0], answers, bits)
+        row, total = counts_of(chunks.select(["lengths", "texts"]).slice(0, 1).to_pylist()[0], answers, bits, ("totals",))
         bucket, parts = mixture_parts(row, total, size["events"], size["docs"], vocabulary, 1)
         logs = np.log2((weights[bucket] * parts).sum(axis=1))
         n = np.bincount(row, minlength=len(ids))
@@ -270,5 +269,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bucket, p1, p2, p3, n = (told.column(c).to_numpy().astype(np.int64) for c in ("bucket", "p1", "p2", "p3", "n"))
     order = np.lexsort((p3, p2, p1, bucket))
     weights = learn(bucket[order], np.column_stack([p1, p2, p3])[order], n[order], vocabulary)
-    scored = chunks.select("chunk", "lengths", "texts", "ids").groupBy("chunk").cogroup(answers.select("chunk", "place", "totals", "apart").groupBy("chunk"))
+    scored = chunks.select("chunk", "lengths", "texts", "ids").groupBy("chunk").cogroup(answers.select("chunk", "place", "totals").groupBy("chunk"))
     return scored.applyInArrow(scorer(bits, whole, vocabulary, weights), f"doc_id {kind}, tokens long, mean_log2_probability double")

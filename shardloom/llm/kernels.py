@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import zstandard
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of the package
@@ -131,3 +132,37 @@ def row_sets(rows: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray,
     keep[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
     rows, values = rows[keep], values[keep]
     return np.searchsorted(rows, np.arange(n + 1)), values
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    values = np.ascontiguousarray(values, np.uint64)
+    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :used].T
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def place_cuts(grams: np.ndarray, places: int, bits: int) -> np.ndarray:
+    """Where the ranges of the places begin in sorted fingerprints."""
+    edges = np.array([(p << bits) // places for p in range(places)], np.uint64)
+    return np.r_[np.searchsorted(grams, edges), len(grams)]
+
+
+def release() -> None:
+    """Give freed memory back: a worker that serves many groups would keep the most that any of them took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

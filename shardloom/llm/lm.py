@@ -43,16 +43,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels
 from .common import kind_of, partitions, row_key, stored
-from .kernels import U64
+from .kernels import U64, packed, place_cuts, unpacked
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 3
 HELD_OUT = 10  # one part of so many
 BUCKETS = 24
 ROUNDS = 30
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 SPARE_BITS = 16
-PLACE_GRAMS = 8_000_000
+PLACE_GRAMS = 3_000_000
 OCTAVE = 2
 START, END = U64(1), U64(2)
 SPACE = np.zeros(256, bool)
@@ -60,21 +60,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK_COLUMNS = "chunk long, held boolean, lengths binary, texts binary, events long, docs long"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers as compressed planes of bytes."""
-    values = np.ascontiguousarray(values, np.uint64)
-    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
-    planes = values.view(np.uint8).reshape(-1, 8)[:, :used].T
-    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
-    return out.view(np.uint64).ravel()
-
-
 def tokens(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bounds, hashes) of all tokens."""
     if not len(raw):
@@ -139,12 +124,6 @@ def opened(lengths: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(zstandard.ZstdDecompressor().decompress(texts, max_output_size=max(1, int(offsets[-1]))), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
 
 
-def place_cuts(grams: np.ndarray, places: int, bits: int) -> np.ndarray:
-    """Where the ranges of the places begin in sorted fingerprints."""
-    edges = np.array([(p << bits) // places for p in range(places)], np.uint64)
-    return np.r_[np.searchsorted(grams, edges), len(grams)]
-
-
 def request_batches(bits: int, places: int):
     def run(batches):
         for batch in batches:
@@ -169,6 +148,8 @@ def answer(group: pa.Table) -> pa.Table:
     words = np.zeros(len(grams), np.int64)
     words[0] = (known & U64(1)).sum()
     cells = [pa.array([packed(t[x]) for x in np.split(at, cuts)], pa.binary()) for t in (total, apart)]
+    del grams, times, known, at, held, total, apart
+    kernels.release()
     return pa.table({"chunk": group.column("chunk"), "held": group.column("held"), "place": group.column("place"), "totals": cells[0], "apart": cells[1], "words": pa.array(words)})
 
 
@@ -230,6 +211,7 @@ def held_counts(bits: int, size: dict, vocabulary: int, deleted: bool):
         key = np.column_stack([bucket.astype(np.int16), rounded(parts[:, 1:])])
         found, n = np.unique(np.ascontiguousarray(key).view(np.uint64).ravel(), return_counts=True)
         cells = found.view(np.int16).reshape(-1, 4)
+        kernels.release()
         return pa.table([pa.array(cells[:, i], pa.int16()) for i in range(4)] + [pa.array(n, pa.int64())], names=["bucket", "p1", "p2", "p3", "n"])
 
     return run
@@ -243,6 +225,8 @@ def scorer(bits: int, size: dict, vocabulary: int, weights: np.ndarray):
         logs = np.log2((weights[bucket] * parts).sum(axis=1))
         n = np.bincount(row, minlength=len(ids))
         mean = np.bincount(row, logs, len(ids)) / np.maximum(1, n)
+        del row, total, bucket, parts, logs
+        kernels.release()
         return pa.table({"doc_id": ids, "tokens": pa.array(n.astype(np.int64)), "mean_log2_probability": pa.array(np.round(mean, 6), mask=n == 0)})
 
     return run

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.llm import lm
+from shardloom.llm import kernels, lm
 from shardloom.llm.common import row_key, table
 from shardloom.llm.queries import queries
 from tests.llm.test_llm import DATA, EDGE, docs_of
@@ -111,7 +111,7 @@ def test_packing_of_numbers():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5, 5, 1 << 63], rng.integers(0, 1 << 40, 1000)):
         values = np.array(values, np.uint64)
-        assert lm.unpacked(lm.packed(values)).tolist() == values.tolist()
+        assert kernels.unpacked(kernels.packed(values)).tolist() == values.tolist()
 
 
 def test_what_is_gathered_grows_with_the_corpus(spark):
@@ -120,7 +120,7 @@ def test_what_is_gathered_grows_with_the_corpus(spark):
     for n in (10, 40):
         rows = words(n).select("doc_id", F.lit(False), "text").mapInArrow(lm.chunk_batches, f"{lm.CHUNK_COLUMNS}, ids array<long>")
         asked = rows.select("chunk", "held", "lengths", "texts").mapInArrow(lm.request_batches(40, 4), "place int, chunk long, held boolean, grams binary, times binary")
-        sent.append(sum(len(lm.unpacked(bytes(r.grams))) for r in asked.collect()))
+        sent.append(sum(len(kernels.unpacked(bytes(r.grams))) for r in asked.collect()))
     assert sent[1] > 3.8 * sent[0]
 
 

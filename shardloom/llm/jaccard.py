@@ -60,7 +60,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernels
 from .common import KEY_TYPE, components, keep_rows, limited, partitions, row_key, stored
-from .kernels import U64
+from .kernels import U64, packed, unpacked
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NGRAM = 1
@@ -336,34 +336,55 @@ def near_enough(a: np.ndarray, b: np.ndarray, size: np.ndarray, offsets: np.ndar
     return keep
 
 
-def meeting_batches(threshold: float):
-    """(a, b, weight): the nodes of different cells and near sizes that share a posting."""
+def meeting_batches(threshold: float, places: int):
+    """The pairs of nodes of different cells and near sizes that share a posting, with their weights: compressed, by place."""
     apart = size_distance(threshold)
 
+    def flush(held):
+        a, b, weight = (np.concatenate(x) for x in zip(*held))
+        place = (kernels.mix(a.view(U64) + kernels.mix(b.view(U64))) % U64(places)).astype(np.int32)
+        order = np.lexsort((b, a, place))
+        a, b, weight, place = a[order], b[order], weight[order], place[order]
+        cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]).tolist()
+        rows = [(int(place[i]), packed(np.diff(a[i:j].view(U64), prepend=U64(0))), packed(b[i:j].view(U64)), packed(weight[i:j])) for i, j in zip(cuts, [*cuts[1:], len(a)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["place", "a", "b", "weight"])
+
     def run(batches):
+        held, rows = [], 0
         for batch in batches:
             lists, weight = batch.column(0), batch.column(1).to_numpy()
             node, cuts = lists.flatten().to_numpy(), np.asarray(lists.offsets)
             cell, code = node >> 32, node & 1023
             end, weight = np.repeat(cuts[1:] - cuts[0], np.diff(cuts)), np.repeat(weight, np.diff(cuts))
-            at, step, held, rows = np.arange(len(node)), 1, [], 0
+            at, step = np.arange(len(node)), 1
             while True:
                 at = at[at + step < end[at]]  # pairs of entries ``step`` apart, for every posting at once
                 if not len(at):
                     break
                 near = (cell[at] != cell[at + step]) & ((code[at] == 0) | (code[at + step] == 0) | (np.abs(code[at] - code[at + step]) <= apart))
                 a, b = node[at[near]], node[at[near] + step]
-                held.append((np.minimum(a, b), np.maximum(a, b), np.where((code[at[near]] == 0) | (code[at[near] + step] == 0), AGREE, weight[at[near]])))
+                held.append((np.minimum(a, b), np.maximum(a, b), np.where((code[at[near]] == 0) | (code[at[near] + step] == 0), AGREE, weight[at[near]]).astype(np.uint64)))
                 rows, step = rows + len(a), step + 1
-                if rows > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b", "weight"])
+                if rows > 500_000:
+                    yield flush(held)
                     held, rows = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["a", "b", "weight"])
+        if rows:
+            yield flush(held)
 
     return run
 
 
+def enough_meetings(group: pa.Table) -> pa.Table:
+    """(a, b) of the pairs of a place that meet under weights of AGREE or more."""
+    a = np.concatenate([np.cumsum(unpacked(x), dtype=np.uint64) for x in group.column("a").to_pylist()]).view(np.int64)
+    b, weight = (np.concatenate([unpacked(x) for x in group.column(c).to_pylist()]) for c in ("b", "weight"))
+    order = np.lexsort((b, a))
+    a, b, weight = a[order], b.view(np.int64)[order], weight[order].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    good = head[np.add.reduceat(weight, head) >= AGREE]
+    return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
+
+
 def near_batches(threshold: float):
     """(a, b) of the pairs that their sizes and sketches don't exclude; one without a sketch isn't excluded."""
 
@@ -506,14 +527,14 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = nodes.groupBy("cell").agg(F.count(F.lit(1)).alias("crowd"))
     # An entry has its cell in the upper half, then bits of the set's name and its size; where two sets of a cell coincide, both are candidates.
     nodes = nodes.join(crowd.where("crowd > 1"), "cell", "left").withColumn("crowd", F.coalesce("crowd", F.lit(1)))
-    entry = F.when(F.col("crowd") >= LARGE_CELL, F.shiftleft(F.col("cell").cast("long"), 32)).otherwise(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("sid").bitwiseAND((1 << 22) - 1), 10)).bitwiseOR(size_code("size")))
+    entry = F.when(F.col("crowd") >= LARGE_CELL, F.shiftleft(F.col("cell").cast("long"), 32)).otherwise(F.shiftleft(F.col("cell").cast("long"), 32).bitwiseOR(F.when(F.col("crowd") > 1, F.shiftleft(F.col("sid").bitwiseAND((1 << 22) - 1), 10)).otherwise(0)).bitwiseOR(size_code("size")))
     nodes = stored(nodes.withColumn("node", entry))
     signed = rows.select("text").mapInArrow(signature_batches(n, threshold, rare), "sid long, sigs binary").groupBy("sid").agg(F.first("sigs").alias("sigs"))
     entries = signed.join(nodes.select("sid", "node"), "sid").select("node", "sigs").mapInArrow(entry_batches, "sig long, node long")
     posts = entries.groupBy("sig").agg(F.collect_set("node").alias("nodes")).where(F.shiftright(F.array_min("nodes"), 32) != F.shiftright(F.array_max("nodes"), 32))
     posts = posts.select(meeting("nodes", threshold).alias("nodes"), F.col("sig").bitwiseAND(7).alias("weight")).where("size(nodes) > 1")
-    met = posts.mapInArrow(meeting_batches(threshold), "a long, b long, weight long").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    met = stored(met.where(F.col("weight") >= AGREE).select("a", "b"))
+    met = posts.mapInArrow(meeting_batches(threshold, 2 * partitions(spark)), "place int, a binary, b binary, weight binary").groupBy("place").applyInArrow(enough_meetings, "a long, b long")
+    met = stored(met)
     large = nodes.where(F.col("crowd") >= LARGE_CELL).select("node", "cell").distinct()
     told = nodes.where(F.col("crowd") < LARGE_CELL).select("node", "size", "sketch").unionByName(large.select("node", F.lit(0).alias("size"), F.lit(b"").alias("sketch")))
     said = lambda x: told.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("sketch").alias(f"{x}_sketch"))

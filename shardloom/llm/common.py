@@ -2,50 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from shardloom.shared import shared_folder, shared_path
+
 BROADCAST_ROWS = 1_000_000  # rows of a few numbers each, 50 MB at most; more are joined by a shuffle
 KEY_TYPE = "k struct<a: long, b: long>"
-_written: list[tuple] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir.  Only a local master, as in tests, may go without one and gets a folder of its own, removed at the end."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="shardloom-")
-            _written.append((context, folder))
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def remove(context, path: str) -> None:
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def remove_written() -> None:
-    """The folders that ``stored`` wrote, if the session still runs."""
-    for context, path in _written:
-        if context._jsc is not None:
-            remove(context, path)
-    _written.clear()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed at the end of the program."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, path))
-    return path
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:

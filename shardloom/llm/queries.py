@@ -12,7 +12,7 @@ def queries() -> dict:
         "op1_quality": lambda s, d: puquality.quality(docs(s, d), table(s, d, "labels")),
         "op2_sstable": lambda s, d: sstable.shards(docs(s, d)),
         "op3_fingerprint": lambda s, d: canonical.fingerprints(docs(s, d)),
-        "op4_chat": lambda s, d: chat.canonical_turns(chat.as_records(table(s, d, "conversations"))),
+        "op4_chat": lambda s, d: chat.turns_and_unmapped(chat.as_records(table(s, d, "conversations"))),
         "op5_packing": lambda s, d: packing.pack(docs(s, d)),
         "op6_mixing": lambda s, d: mixing.mix(docs(s, d)),
         "op7_jaccard": lambda s, d: jaccard.links(docs(s, d)),

@@ -73,7 +73,7 @@ BLOCK = 2048  # nodes of a cell in one place
 LARGE_CELL = 4096  # nodes from which a cell is one entry of a posting
 KEYS, KEY_GRAMS = 3, 4  # min-hash keys of a set, and the grams that make up one
 SIGNATURE_BYTES = 6
-SIZE_CODES = 50.5
+SIZE_CODES = 100
 AGREE = 4  # at most 7
 COMMON = 0.05  # chance that two unrelated documents agree on a token, for the allocation
 SKETCH_SHIFT = 20
@@ -488,13 +488,13 @@ def verifier(n: int, threshold: float):
 
 
 def size_code(size: str) -> Column:
-    """A number from 1 to 1023 that grows by one for every 2 % of size."""
+    """A number from 1 to 1023 that grows by one for every percent of size."""
     return F.least(F.lit(1023), F.floor(F.log(F.col(size).cast("double")) * SIZE_CODES) + 1).cast("long")
 
 
 def size_distance(threshold: float) -> int:
     """How far apart the size codes of similar sets can be."""
-    return math.ceil(-math.log(threshold) * SIZE_CODES) + 1
+    return math.ceil(-math.log(threshold) * SIZE_CODES + 1e-9)
 
 
 def meeting(nodes: str, threshold: float) -> Column:

@@ -2,16 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and is written as Parquet before the next begins.
+
+Defined results: null and blank texts go in the first stage (no label and no word
+says that they are clean); of equal and of similar texts the row with the smallest
+identifier stays, nulls last; rows with a null identifier, repeated rows, ties and
+very long texts go through all stages as the stages define; other columns are
+carried to the last stage, whatever their names; an empty table gives an empty
+result of the same schema.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import exact, jaccard, mixing, packing, puquality
-from shardloom.llm.common import shared_folder, table
+from shardloom.llm.common import table
+from shardloom.shared import shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +42,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("n-gram Jaccard join", near_dedup), ("mixing", mixture), ("packing", packed)]
 
-#: Model fitting, set similarity with its components and online packing are beyond SQL; tests compare run() with a brute-force version.
+#: Model fitting, set similarity with its components and online packing are beyond SQL; the tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")

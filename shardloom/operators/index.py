@@ -55,15 +55,10 @@ def lookup_by_index(probes: DataFrame, shards: DataFrame, index: str = "i") -> D
     """probes with shard_id and the offset in the shard; NULLs if there is no such sample.
 
     Shards partition the line of global offsets, so each probe asks for the last
-    shard that begins at or before it.  A small shards table is broadcast into a
-    range join; a large one and the probes are merged in order of their offsets,
-    range-partitioned by blocks of the line.
+    shard that begins at or before it.  Shards and probes meet in blocks of the
+    line that are as long as the longest shard: an equi-join at any size.
     """
-    if small(shards):
-        s = F.broadcast(shards.select("shard_id", "global_offset", "n_samples"))
-        on = (probes[index] >= s["global_offset"]) & (probes[index] < s["global_offset"] + s["n_samples"])
-        return probes.join(s, on, "left").select(probes["*"], "shard_id", (probes[index] - F.col("global_offset")).alias("offset"))
-    width = shards.agg(F.max("n_samples")).first()[0]
+    width = F.lit(max(1, shards.agg(F.max("n_samples")).first()[0] or 1))
     reach = F.explode(F.sequence(F.floor(F.col("global_offset") / width), F.floor((F.col("global_offset") + F.col("n_samples") - 1) / width)))
     s = shards.where("n_samples > 0").select("shard_id", "global_offset", "n_samples", reach.alias("__block"))
     p = probes.withColumn("__block", F.floor(F.col(index) / width))

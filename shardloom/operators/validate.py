@@ -13,19 +13,22 @@ FOOTER = "dir string, partition string, shard string, ok boolean, fields string,
 def read_footer(path: str) -> dict:
     """Schema text, batches and rows; ``even``: all batches but the last have the stated size."""
     try:
-        with pa.memory_map(path) as source, pa.ipc.open_file(source) as reader:
-            size = int((reader.schema.metadata or {}).get(b"batch_size", 0))
+        with pa.memory_map(path) as source:
+            schema = pa.ipc.open_file(source).schema
+            narrow = min(range(len(schema)), key=lambda i: getattr(schema.field(i).type, "bit_width", 1 << 20) if pa.types.is_primitive(schema.field(i).type) else 1 << 20, default=0)
+            reader = pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=[narrow]))  # the others stay compressed
+            size = int((schema.metadata or {}).get(b"batch_size", 0))
             rows = [reader.get_batch(i).num_rows for i in range(reader.num_record_batches)]
-            fields = ", ".join(f"{f.name}: {f.type}" for f in reader.schema)
+            fields = ", ".join(f"{f.name}: {f.type}" for f in schema)
             even = all(r == size for r in rows[:-1]) and all(0 < r <= size for r in rows[-1:])
             return {"ok": has_tail(path), "fields": fields, "n_batches": len(rows), "batch_size": size, "n_rows": sum(rows), "even": even}
     except (OSError, pa.ArrowInvalid):
         return {"ok": False, "fields": None, "n_batches": None, "batch_size": None, "n_rows": None, "even": None}
 
 
-def footers(spark: SparkSession, catalog: Catalog) -> DataFrame:
-    """A row for each shard file of each column group."""
-    paths = [(d, p, s, path) for d, shards in catalog.shards.items() for (p, s), path in shards.items()]
+def footers(spark: SparkSession, catalog: Catalog, dirs: list[str] | None = None) -> DataFrame:
+    """A row for each shard file of each column group, or of ``dirs``."""
+    paths = [(d, p, s, path) for d, shards in catalog.shards.items() if dirs is None or d in dirs for (p, s), path in shards.items()]
 
     def scan(batches):
         for batch in batches:

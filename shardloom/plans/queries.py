@@ -7,14 +7,13 @@ labels a column group with gaps; the events of a user the segments of a file.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.functions import codecs, keys
 from shardloom.operators import index as ix
 from shardloom.operators import links, shards as sh
 from shardloom.operators.shards import OFFSET, SHARD
+from shardloom.shared import shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -492,41 +491,26 @@ def weighted_revenue(spark, d):
     )
 
 
-@query(f"WITH {SHARDS_SQL} SELECT shard_id, count(*) AS n, max(foff) AS last_offset FROM files GROUP BY shard_id")
-def index_sql(spark, d):
-    """Any SQL over the index, as temporary views."""
-    view = f"files_{uuid.uuid4().hex}"
-    files(spark, d).createOrReplaceTempView(view)
-    return spark.sql(f"SELECT shard_id, count(*) AS n, max(offset) AS last_offset FROM {view} GROUP BY shard_id")
-
-
 # -- shard files
 
 
-def folder(spark) -> str:
-    """A new folder in the shared storage of the cluster."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.removeprefix('file://')}/shards-{uuid.uuid4().hex}"
-
-
-def written(spark, d):
-    """documents as shard files of two column groups; (dataset, reports)."""
+def written(spark, d, damage=None):
+    """documents as shard files of two column groups, whole texts included; (dataset, reports).  ``damage`` changes the keys of the second group."""
     from shardloom.plans.dataset import Dataset
     from shardloom.sources.sink import write_shards
 
-    root = folder(spark)
-    docs = documents(spark, d, "lang", "n_chars").withColumn("__key__", F.col("doc_id").cast("string"))
-    reports = [write_shards(docs.select(SHARD, OFFSET, "__key__", *columns), root, name) for name, columns in (("text", ["lang"]), ("size", ["n_chars"]))]
+    root = shared_path(spark, "shards").removeprefix("file:").replace("///", "/")
+    docs = documents(spark, d, "text", "lang", "n_chars").withColumn("__key__", F.col("doc_id").cast("string"))
+    key = {"text": F.col("__key__"), "size": F.col("__key__") if damage is None else damage}
+    reports = [write_shards(docs.select(SHARD, OFFSET, key[name].alias("__key__"), *columns), root, name) for name, columns in (("text", ["text", "lang"]), ("size", ["n_chars"]))]
     return Dataset(spark, root), reports
 
 
-@query(f"WITH {DOCS_SQL} SELECT doc_id::VARCHAR AS key, shard, off AS \"offset\", lang, n_chars * 2 AS twice FROM docs")
+@query(f"WITH {DOCS_SQL} SELECT doc_id::VARCHAR AS key, shard, off AS \"offset\", lang, n_chars * 2 AS twice, md5(text) AS digest FROM docs")
 def arrow_roundtrip(spark, d):
     """Written as shards of two column groups, and read again with their columns zipped."""
     data, _ = written(spark, d)
-    return data.select("__key__ AS key", "__shard__ AS shard", "__shard_offset__ AS offset", "lang", "n_chars * 2 AS twice")
+    return data.select("__key__ AS key", "__shard__ AS shard", "__shard_offset__ AS offset", "lang", "n_chars * 2 AS twice", "md5(text) AS digest")
 
 
 @query("SELECT doc_id::VARCHAR AS __key__ FROM documents WHERE n_chars > 3000 AND lang = 'en'")
@@ -570,5 +554,79 @@ def write_report(spark, d):
     """The sink's report of one column group, with keys checked against its sibling."""
     from shardloom.sources.sink import write_shards
 
-    docs = documents(spark, d, "lang").withColumn("__key__", F.col("doc_id").cast("string")).select(SHARD, OFFSET, "__key__", "lang")
-    return write_shards(docs, folder(spark), "text", sibling=docs).select("shard", "n_rows")
+    docs = documents(spark, d, "text", "lang").withColumn("__key__", F.col("doc_id").cast("string")).select(SHARD, OFFSET, "__key__", "text", "lang")
+    root = shared_path(spark, "shards").removeprefix("file:").replace("///", "/")
+    return write_shards(docs, root, "text", sibling=docs.select(SHARD, OFFSET, "__key__")).select("shard", "n_rows")
+
+
+PLACED_SQL = "shards AS (SELECT source, coalesce(sum(count(*)) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS go FROM documents GROUP BY source), placed AS (SELECT docs.*, go + off AS i FROM docs JOIN shards USING (source))"
+
+
+@query("SELECT doc_id::VARCHAR AS key, lang, n_chars FROM documents")
+def sample_by_key(spark, d):
+    """Every document by its key, and keys that nothing has, through the index; keys of both column groups agree."""
+    data, _ = written(spark, d)
+    key = F.col("doc_id").cast("string")
+    probes = table(spark, d, "documents").select(F.explode(F.array(key, F.concat(F.lit("no"), key))).alias("key"))
+    return data.rows_of(probes, *data.build_index(), ["lang", "n_chars"])
+
+
+@query(f"WITH {DOCS_SQL}, {PLACED_SQL}, t AS (SELECT count(*) + 9 AS n FROM documents) SELECT event_id, event_id % n AS i, doc_id::VARCHAR AS key, lang, n_chars FROM events, t LEFT JOIN placed ON placed.i = event_id % n")
+def sample_by_index(spark, d):
+    """The sample at an index for each event; NULLs beyond the end."""
+    data, _ = written(spark, d)
+    _, shards = data.build_index()
+    probes = table(spark, d, "events").select("event_id", (F.col("event_id") % (len(data) + 9)).alias("i"))
+    found = data.rows_at(probes, shards, ["__key__", "lang", "n_chars"])
+    return found.withColumnRenamed("__key__", "key")
+
+
+@query(f"WITH {DOCS_SQL}, {PLACED_SQL} SELECT doc_id::VARCHAR AS name, source AS shard, off AS \"offset\", i FROM placed")
+def index_roundtrip(spark, d):
+    """The index stored, opened again and asked by SQL."""
+    data, _ = written(spark, d)
+    data.write_index(shared_path(spark, "index"))
+    return data.index_sql("SELECT name, shard, offset, global_offset + offset AS i FROM {files} JOIN {shards} USING (shard_id)")
+
+
+@query(f"WITH {DOCS_SQL} SELECT source AS shard, off AS \"offset\", doc_id::VARCHAR AS left_key, 'x' || doc_id AS right_key FROM docs WHERE doc_id % 97 = 0")
+def key_mismatch(spark, d):
+    """Where two column groups have different keys."""
+    key = F.col("doc_id").cast("string")
+    data, _ = written(spark, d, F.when(F.col("doc_id") % 97 == 0, F.concat(F.lit("x"), key)).otherwise(key))
+    return data.key_mismatches("text", "size").select(F.col(SHARD).alias("shard"), F.col(OFFSET).alias("offset"), "left_key", "right_key")
+
+
+@query(f"WITH {DOCS_SQL}, {PLACED_SQL} SELECT source AS shard, count(*) AS n, max(off) AS last_offset FROM placed GROUP BY source")
+def index_sql(spark, d):
+    """Any SQL over the index of a dataset."""
+    data, _ = written(spark, d)
+    data.write_index(shared_path(spark, "index"))
+    return data.index_sql("SELECT shard, count(*) AS n, max(offset) AS last_offset FROM {files} JOIN {shards} USING (shard_id) GROUP BY shard")
+
+
+@query(
+    "SELECT p_partkey, round(cbrt(p_size), 6) AS cb, round(exp(p_size / 50.0::DOUBLE), 6) AS ex, round(log2(p_size), 6) AS l2, round(log10(p_size), 6) AS l10, round(ln(1 + p_size), 6) AS l1, round(pow(p_size, 0.5::DOUBLE), 6) AS pw, sign(p_size - 25)::INT AS sg, round(pi(), 6) AS p, "
+    "round(sin(p_size), 6) AS si, round(cos(p_size), 6) AS co, round(tan(p_size), 6) AS ta, round(asin(p_size / 100.0::DOUBLE), 6) AS asi, round(acos(p_size / 100.0::DOUBLE), 6) AS aco, round(atan(p_size), 6) AS ata, round(atan2(p_size, 7), 6) AS a2, round(degrees(p_size), 6) AS de, round(radians(p_size), 6) AS ra, bit_count(p_size)::INT AS bc, "
+    "bit_length(p_name)::INT AS bl, ltrim('  ' || p_name) AS lt, rtrim(p_name || '  ') AS rt, ends_with(p_name, '1') AS ew, regexp_matches(p_name, '[0-5]$') AS rl, len(string_split(p_type, ' '))::INT AS ns, list_contains(string_split(p_type, ' '), 'TIN') AS ac, "
+    "len(list_distinct(string_split(p_type, ' ')))::INT AS ad, array_to_string(list_reverse(string_split(p_type, ' ')), '|') AS ar, ifnull(nullif(p_size, 1), 0) AS nu, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '*') AS rp, repeat(left(p_brand, 2), 3) AS re, ascii(p_brand) AS asc_, lower(p_type) AS lo, trim('  ' || p_type || ' ') AS tr, least(p_size, 9) AS le FROM part"
+)
+def scalar_surface_2(spark, d):
+    return table(spark, d, "part").selectExpr(
+        "p_partkey", "round(cbrt(p_size), 6) AS cb", "round(exp(p_size / 50D), 6) AS ex", "round(log2(p_size), 6) AS l2", "round(log10(p_size), 6) AS l10", "round(log1p(p_size), 6) AS l1", "round(pow(p_size, 0.5D), 6) AS pw", "CAST(sign(p_size - 25) AS INT) AS sg", "round(pi(), 6) AS p",
+        "round(sin(p_size), 6) AS si", "round(cos(p_size), 6) AS co", "round(tan(p_size), 6) AS ta", "round(asin(p_size / 100D), 6) AS asi", "round(acos(p_size / 100D), 6) AS aco", "round(atan(p_size), 6) AS ata", "round(atan2(p_size, 7), 6) AS a2", "round(degrees(p_size), 6) AS de", "round(radians(p_size), 6) AS ra", "bit_count(p_size) AS bc",
+        "bit_length(p_name) AS bl", "ltrim('  ' || p_name) AS lt", "rtrim(p_name || '  ') AS rt", "endswith(p_name, '1') AS ew", "rlike(p_name, '[0-5]$') AS rl", "size(split(p_type, ' ')) AS ns", "array_contains(split(p_type, ' '), 'TIN') AS ac",
+        "size(array_distinct(split(p_type, ' '))) AS ad", "array_join(reverse(split(p_type, ' ')), '|') AS ar", "ifnull(nullif(p_size, 1), 0) AS nu", "lpad(p_brand, 12, '*') AS lp", "rpad(p_brand, 12, '*') AS rp", "repeat(left(p_brand, 2), 3) AS re", "ascii(p_brand) AS asc_", "lower(p_type) AS lo", "trim('  ' || p_type || ' ') AS tr", "least(p_size, 9) AS le",
+    )
+
+
+@query(
+    "SELECT l_returnflag, round(variance(l_quantity), 6) AS v, round(var_pop(l_quantity), 6) AS vp, round(stddev_pop(l_tax), 6) AS sp, round(covar_samp(l_quantity, l_tax), 6) AS cs, round(covar_pop(l_quantity, l_tax), 6) AS cp, quantile_disc(l_quantity, 0.25) AS q25, bool_and(l_tax >= 0) AS ba, bool_or(l_tax > 0.07) AS bo, bit_or(l_linenumber)::INT AS bitor, "
+    "bit_and(l_linenumber)::INT AS bitand, bit_xor(l_linenumber)::INT AS bitxor, count(*) FILTER (WHERE l_tax > 0.05) AS nf, approx_count_distinct(l_returnflag) AS acd FROM lineitem GROUP BY l_returnflag"
+)
+def aggregate_surface(spark, d):
+    return spark.sql(
+        "SELECT l_returnflag, round(variance(l_quantity), 6) AS v, round(var_pop(l_quantity), 6) AS vp, round(stddev_pop(l_tax), 6) AS sp, round(covar_samp(l_quantity, l_tax), 6) AS cs, round(covar_pop(l_quantity, l_tax), 6) AS cp, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q25, bool_and(l_tax >= 0) AS ba, bool_or(l_tax > 0.07) AS bo, bit_or(l_linenumber) AS bitor, "
+        "bit_and(l_linenumber) AS bitand, bit_xor(l_linenumber) AS bitxor, count(*) FILTER (WHERE l_tax > 0.05) AS nf, approx_count_distinct(l_returnflag) AS acd FROM {lineitem} GROUP BY l_returnflag",
+        lineitem=table(spark, d, "lineitem"),
+    )

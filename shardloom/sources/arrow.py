@@ -12,12 +12,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThan
 from pyspark.sql.types import StructType
 
+from shardloom import errors
+from shardloom.errors import KeyMismatchError
 from shardloom.sources import types
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(types)
+cloudpickle.register_pickle_by_value(errors)
 FORMAT = "shardloom"
 BATCH_ROWS = 4096
+KEY = "__key__"
 SPECIAL = ("__partition__", "__shard__", "__shard_path__", "__shard_offset__")
 
 
@@ -61,13 +65,16 @@ class Rows:
         return out
 
 
-def read_shard(partition: ShardPartition, columns: list[list[str]], schema: pa.Schema):
-    """columns: [name, directory, stored name] of the fields, or [name] for special columns."""
+def read_shard(partition: ShardPartition, columns: list[list[str]], schema: pa.Schema, verify: list[str] = ()):
+    """columns: [name, directory, stored name] of the fields, or [name] for special columns; the directories ``verify`` must have equal keys."""
     shard, low = partition.shard, partition.low
     by_dir: dict[str, list[str]] = {}
     for column in columns:
         if len(column) > 1 and column[2] not in by_dir.setdefault(column[1], []):
             by_dir[column[1]].append(column[2])
+    for d in verify:
+        if KEY not in by_dir.setdefault(d, []):
+            by_dir[d].append(KEY)
     if not shard["ok"]:  # all columns are NULL, for as many rows as the index says
         count = shard["n"] or 0
         end = count if partition.high is None else min(count, partition.high)
@@ -85,6 +92,11 @@ def read_shard(partition: ShardPartition, columns: list[list[str]], schema: pa.S
                 raise ValueError(f"column groups of shard {shard['shard']} have different numbers of rows")
             return
         parts = {d: s.take(n) for d, s in streams.items()}
+        keys = {d: parts[d].column(parts[d].schema.get_field_index(KEY)) for d in verify}
+        for d in list(keys)[1:]:
+            if not keys[d].equals(keys[verify[0]]):
+                wrong = next(i for i, (x, y) in enumerate(zip(keys[verify[0]].to_pylist(), keys[d].to_pylist())) if x != y)
+                raise KeyMismatchError(f"{shard['shard']}[{at + wrong}]: {verify[0]} has {keys[verify[0]][wrong]}, {d} has {keys[d][wrong]}")
         out = []
         for column, f in zip(columns, schema):
             if len(column) > 1:
@@ -102,6 +114,7 @@ class ShardReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.options, self.kind = options, schema
         self.columns, self.shards = json.loads(options["columns"]), json.loads(options["shards"])
+        self.verify = json.loads(options.get("verify", "[]"))
         self.low, self.high = int(options.get("low", 0)), int(options["high"]) if "high" in options else None
 
     def pushFilters(self, filters):
@@ -127,7 +140,7 @@ class ShardReader(DataSourceReader):
             return
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        yield from read_shard(partition, self.columns, to_arrow_schema(self.kind))
+        yield from read_shard(partition, self.columns, to_arrow_schema(self.kind), self.verify)
 
 
 class ShardStream(DataSourceStreamReader):

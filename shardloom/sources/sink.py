@@ -27,22 +27,72 @@ def batch_size(table: pa.Table, min_bytes: int, max_rows: int = MAX_BATCH_ROWS)
     return size
 
 
+class ShardFile:
+    """A shard written batch by batch under another name and moved into place at the end, so that a reader never sees part of one.
+
+    The size of its batches is settled by the first rows, so only about one batch is held.
+    """
+
+    def __init__(self, path: str, compression: str | None = "zstd", min_bytes: int = MIN_BATCH_BYTES):
+        self.filesystem, self.target = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        self.filesystem.create_dir(self.target.rsplit("/", 1)[0], recursive=True)
+        self.part = f"{self.target}.{uuid.uuid4().hex}.part"
+        self.compression, self.min_bytes = compression, min_bytes
+        self.held, self.rows, self.size, self.batches, self.writer = [], 0, 0, 0, None
+
+    def add(self, rows: pa.Table) -> None:
+        self.held.append(rows)
+        self.rows += rows.num_rows
+        if self.size or sum(t.num_rows for t in self.held) >= MAX_BATCH_ROWS or sum(t.nbytes for t in self.held) >= 2 * self.min_bytes:
+            self.drain(False)
+
+    def drain(self, last: bool) -> None:
+        table = pa.concat_tables(self.held)
+        if not self.size:
+            self.size = batch_size(table, self.min_bytes)
+            if self.size >= table.num_rows and not last and self.size < MAX_BATCH_ROWS:
+                self.size = 0  # the rows so far don't settle it
+                return
+            self.schema = table.schema.with_metadata({**(table.schema.metadata or {}), b"batch_size": str(self.size).encode()})
+            self.stream = self.filesystem.open_output_stream(self.part)
+            self.writer = pa.ipc.new_file(self.stream, self.schema, options=pa.ipc.IpcWriteOptions(compression=self.compression))
+        whole = table.num_rows if last else table.num_rows // self.size * self.size
+        if whole:
+            done = table.slice(0, whole).combine_chunks().cast(self.schema)
+            self.writer.write_table(done, max_chunksize=self.size)
+            self.batches += -(-whole // self.size)
+        self.held = [table.slice(whole)]
+
+    def close(self) -> tuple[int, int]:
+        """(batch size, batches)"""
+        self.drain(True)
+        self.writer.close()
+        self.stream.close()
+        self.filesystem.move(self.part, self.target)
+        return self.size, self.batches
+
+    def abandon(self) -> None:
+        if self.writer is not None:
+            self.writer.close()
+            self.stream.close()
+        if self.filesystem.get_file_info(self.part).type != pafs.FileType.NotFound:
+            self.filesystem.delete_file(self.part)
+
+
 def write_file(table: pa.Table, path: str, compression: str | None = "zstd", min_bytes: int = MIN_BATCH_BYTES) -> tuple[int, int]:
-    """Write a shard under another name and move it into place, so that a reader never sees part of one; (batch size, batches)."""
-    filesystem, target = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
-    size = batch_size(table, min_bytes)
-    table = table.replace_schema_metadata({**(table.schema.metadata or {}), b"batch_size": str(size).encode()})
-    part = f"{target}.{uuid.uuid4().hex}.part"
+    """Write a whole table as a shard; (batch size, batches)."""
+    file = ShardFile(path, compression, min_bytes)
     try:
-        with filesystem.open_output_stream(part) as stream, pa.ipc.new_file(stream, table.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
-            writer.write_table(table.combine_chunks(), max_chunksize=size)
-        filesystem.move(part, target)
+        file.add(table)
+        return file.close()
     except BaseException:
-        if filesystem.get_file_info(part).type != pafs.FileType.NotFound:
-            filesystem.delete_file(part)
+        file.abandon()
         raise
-    return size, -(-table.num_rows // size)
+
+
+def reported(shard: str, file: ShardFile) -> pa.RecordBatch:
+    size, batches = file.close()
+    return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([file.target]), pa.array([file.rows]), pa.array([size]), pa.array([batches])], names=["shard", "path", "n_rows", "batch_size", "n_batches"])
 
 
 def write_shards(
@@ -61,14 +111,30 @@ def write_shards(
     if schema:
         df = df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in schema.items()})
 
-    def write(group: pa.Table) -> pa.Table:
-        group = group.sort_by(OFFSET)
-        shard = group.column(SHARD)[0].as_py()
-        path = f"{root}/{column_dir}/{shard}{suffix}"
-        size, batches = write_file(group.drop_columns([SHARD, OFFSET]), path, compression, min_bytes)
-        return pa.table({"shard": [shard], "path": [path], "n_rows": [group.num_rows], "batch_size": [size], "n_batches": [batches]})
-
-    report = df.groupBy(SHARD).applyInArrow(write, REPORT).collect()
+    at, columns = df.columns.index(SHARD), [c for c in df.columns if c not in (SHARD, OFFSET)]
+
+    def write(batches):
+        file = current = None
+        try:
+            for batch in batches:
+                shards = batch.column(at).to_pylist()
+                cuts = [0, *(i for i in range(1, len(shards)) if shards[i] != shards[i - 1]), len(shards)]
+                for low, high in zip(cuts, cuts[1:]):
+                    if high > low and (file is None or shards[low] != current):
+                        if file is not None:
+                            yield reported(current, file)
+                        current = shards[low]
+                        file = ShardFile(f"{root}/{column_dir}/{current}{suffix}", compression, min_bytes)
+                    if high > low:
+                        file.add(pa.Table.from_batches([batch.slice(low, high - low)]).select(columns))
+            if file is not None:
+                yield reported(current, file)
+        except BaseException:
+            if file is not None:
+                file.abandon()
+            raise
+
+    report = df.repartition(SHARD).sortWithinPartitions(SHARD, OFFSET).mapInArrow(write, REPORT).collect()
     if not report and not allow_empty:
         raise EmptyOutputError(f"no rows for {root}/{column_dir}")
     return df.sparkSession.createDataFrame(report, REPORT)

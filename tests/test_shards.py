@@ -54,9 +54,14 @@ def test_subsample_iteration_and_lookup(spark, zipped):
     data = Dataset(spark, str(zipped), segmented=True)
     assert data.select("x", shard_subsample=0.4, seed=1).count() in (1, 7, 10)
     assert [r.x for r in data.sequence(("", "a.b[1]"), ["x"], 3, 4)] == [3, 4, 5, 6]
-    assert [r.x for r in data.filtered("x > 3", ["x"], n=3)] == [4, 5, 6]
-    assert sorted(r.x for r in data.filtered("x > 12", ["x"], shuffle=True)) == [13, 14, 15, 16, 17]
-    assert list(data.filtered("x > 99", ["x"], infinite=True)) == []
+    assert [r.x for r in data.filtered("x > 3", ["x"], shuffle=False)] == list(range(4, 18)) and data.last_query_n_samples == 14
+    draws = [[r.x for r in data.filtered("x > 3", ["x"], shuffle=False, n=3, seed=s)] for s in range(8)]
+    assert all(d == sorted(set(d)) and len(d) == 3 for d in draws) and len(set(map(tuple, draws))) > 1
+    assert sorted(r.x for r in data.filtered("x > 12", ["x"], seed=1)) == [13, 14, 15, 16, 17]
+    assert list(data.filtered("x > 99", ["x"], infinite=True)) == [] and data.last_query_n_samples == 0
+    again = [r.x for r in data.filtered("x > 12", ["x"], infinite=True, n=12)]
+    assert len(again) == 12 and set(again[:5]) == set(again[5:10]) == {13, 14, 15, 16, 17}
+    assert {r.x for r in data.filtered("x >= 0", ["x"], shard_subsample=0.4, rng=1)} < set(range(18))
     assert data.random_positions(5, 1) == data.random_positions(5, 1)
     assert len(next(data.random_chunks(["x"], 3))) <= 3
     assert data.sample("f_00000016", ["x"]).x == 16 and data.sample("f_9", ["x"]) is None
@@ -67,6 +72,63 @@ def test_subsample_iteration_and_lookup(spark, zipped):
     assert got == {0: 0, 9: 9, 10: 10, 17: 17, 18: None, -1: None}
 
 
+def test_samples_by_key_and_index(spark, zipped):
+    data = Dataset(spark, str(zipped))
+    with pytest.raises(ValueError):
+        data[0]
+    path = data.write_index(str(zipped / "index"), note="x")
+    data = Dataset(spark, str(zipped))
+    assert data.open_index(path)["fields"] and data.open_index()["note"] == "x"
+    assert data[16]["x"] == 16 and data["f_00000016"]["y.z"] == 8 and data["f_00000016"].ref == ("", "b_2")
+    assert data[18] is None and data[-1] is None and data["f_00000099"] is None and data["other_00000000"] is None
+    with pytest.raises(TypeError):
+        data[1.5]
+    one = data["f_00000003"]
+    assert "x" in one and "no" not in one and one.get_one_of("no", "x") == 3 and one.row("x", "y.z") == {"x": 3, "y.z": 1.5}
+    with pytest.raises(KeyError):
+        one["no"]
+    one["x"] = 7
+    assert one["x"] == 7 and one.get("no", 5) == 5
+    assert data.random_sample()["x"] in range(18) and len(list(data.random_samples(2))) == 2
+    first = next(iter(data))
+    assert first["x"] in range(18)
+    assert data.index_sql("SELECT sum(n_samples) AS n FROM {shards}").first().n == 18
+
+
+def test_keys_of_all_groups_must_agree(spark, tmp_path):
+    write_file(pa.table({"__key__": ["a", "b", "c"], "x": [1, 2, 3]}), f"{tmp_path}/one/s.shard")
+    write_file(pa.table({"__key__": ["a", "ZZZ", "c"], "y": [1, 2, 3]}), f"{tmp_path}/two/s.shard")
+    data = Dataset(spark, str(tmp_path))
+    data.write_index()
+    assert data.sample("a", ["x"]).x == 1
+    for read in (lambda: data.sample("b", ["x", "y"]), lambda: data["b"].row("x", "y"), lambda: Dataset(spark, str(tmp_path)).sample("b", ["x", "y"])):
+        with pytest.raises(Exception, match="one has b, two has ZZZ"):
+            read()
+    assert [tuple(r) for r in data.key_mismatches("one", "two").select("left_key", "right_key").collect()] == [("b", "ZZZ")]
+
+
+def test_columns_are_those_that_the_analysis_finds(spark, zipped):
+    os.remove(zipped / "two" / "c.shard")
+    (zipped / "three").mkdir()
+    make(zipped, "three", {"b_2": range(10, 17)}, "y", lambda i: i)
+    data = Dataset(spark, str(zipped))
+    assert data.select("x AS y").count() == data.select("x AS z").count() == 18
+    assert data.referenced(["x + 1 AS `y.z`", "'y'"]) == ["x"] and data.referenced(["count(1)"]) == [] and data.referenced(["`y.z` + x"]) == ["x", "y.z"]
+    assert data.select("upper(concat(x, 'y')) AS X").count() == 18
+    with pytest.raises(Exception, match="no_such"):
+        data.select("no_such + 1")
+
+
+def test_a_shard_is_written_as_a_stream(spark, tmp_path):
+    df = spark.range(20_000).select(F.lit("s").alias(SHARD), F.col("id").alias(OFFSET), F.col("id").cast("string").alias("__key__"), F.repeat(F.lit("ab"), 100).alias("t"))
+    report = write_shards(df, str(tmp_path), "one", min_bytes=20_000).first()
+    assert (report.n_rows, report.batch_size, report.n_batches) == (20_000, 128, 157)
+    found = validate.footers(spark, Catalog.discover(str(tmp_path))).first()
+    assert found.ok and found.even and (found.n_rows, found.batch_size, found.n_batches) == (20_000, 128, 157)
+    assert Dataset(spark, str(tmp_path)).select("__key__", "__shard_offset__").where("__key__ = __shard_offset__").count() == 20_000
+    assert not list(tmp_path.glob("**/*.part"))
+
+
 def test_collisions_links_and_computed_columns(spark, zipped):
     make(zipped, "three", {"a.b[1]": range(10)}, "x", lambda i: -i)
     data = Dataset(spark, str(zipped))

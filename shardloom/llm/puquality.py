@@ -59,6 +59,7 @@ SCORE_BINS, SCORE_RANGE = 4096, 32.0  # of the histograms for the prior
 DECAY = 5e-4
 CONFIDENCE = 0.1
 WORD_BITS = 63
+FLUSH_WORDS = 2_000_000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -99,26 +100,39 @@ def found_words(words: np.ndarray, rows: np.ndarray, values: np.ndarray) -> tupl
     return pairs // len(words), pairs % len(words)
 
 
+def merged_counts(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, positive rows, unlabelled rows) of several such triples."""
+    known, at = np.unique(np.concatenate([w for w, _, _ in parts]), return_inverse=True)
+    return known, *(np.bincount(at, np.concatenate([x[k] for x in parts]), len(known)).astype(np.uint64) for k in (1, 2))
+
+
 def word_batches(places: int):
     """Of the distinct words of the rows, how many positive and unlabelled rows have each: compressed, by the place of their range."""
 
+    def flush(parts):
+        known, p, u = merged_counts(parts)
+        cuts = place_cuts(known, places, WORD_BITS)
+        rows = [(at, packed(np.diff(known[a:b], prepend=U64(0))), packed(p[a:b]), packed(u[a:b])) for at, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["place", "words", "p", "u"])
+
     def run(batches):
+        parts = []
         for batch in batches:
             positive = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool)
-            words, flags = [], []
             for lo, hi, offsets, raw in kernels.chunks(batch.column(1)):
                 rows, values, _ = features(offsets, raw)
                 order = np.argsort(rows, kind="stable")
                 bounds, values = kernels.row_sets(rows[order], values[order] >> U64(64 - WORD_BITS), hi - lo)
-                words.append(values)
-                flags.append(np.repeat(positive[lo:hi], np.diff(bounds)))
-            known, at = np.unique(np.concatenate(words), return_inverse=True)
-            flag = np.concatenate(flags)
-            counts = [np.bincount(at[flag == x], minlength=len(known)).astype(np.uint64) for x in (True, False)]
-            cuts = place_cuts(known, places, WORD_BITS)
-            rows = [(p, packed(np.diff(known[a:b], prepend=U64(0))), *(packed(c[a:b]) for c in counts)) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["place", "words", "p", "u"])
+                flag = np.repeat(positive[lo:hi], np.diff(bounds))
+                parts.append(merged_counts([(values, flag, ~flag)]))
+                if len(parts) > 8:
+                    parts = [merged_counts(parts)]
+                if sum(len(w) for w, _, _ in parts) > FLUSH_WORDS:
+                    yield flush(parts)
+                    parts = []
+            kernels.release()
+        if sum(len(w) for w, _, _ in parts):
+            yield flush(parts)
 
     return run
 
@@ -186,6 +200,7 @@ def feature_batches(model: dict):
                 cut = np.searchsorted(row, np.arange(hi - lo + 1)) * 2
                 packed_ = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(at.astype(np.uint16).tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), packed_], names=["positive", "h", "features"])
+            kernels.release()
 
     return run
 

@@ -277,6 +277,7 @@ def set_batches(n: int, rare):
                 keys = cell_keys(bounds, values, rare.value).view(np.int64)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(set_ids(bounds, values).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(bounds, values), pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), KEYS).cast(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "sid", "size", "sketch", "keys"]).filter(pa.array(np.diff(bounds) > 0))
+            kernels.release()
 
     return run
 
@@ -295,6 +296,7 @@ def signature_batches(n: int, threshold: float, rare):
                 cut = np.searchsorted(row[order], np.arange(len(bounds))) * SIGNATURE_BYTES
                 packed = pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(bounds, values).view(np.int64)), packed], names=["sid", "sigs"]).filter(pa.array(np.diff(bounds) > 0))
+            kernels.release()
 
     return run
 
@@ -482,6 +484,7 @@ def verifier(n: int, threshold: float):
             keep = (part[a] == 0) | (part[a] != part[b])
             groups.link(member[a[keep]], member[b[keep]])
         at = np.flatnonzero(groups.links)
+        kernels.release()
         return pa.table({"sid": pa.array(sids[at]), "root": pa.array(sids[[groups.root(i) for i in at.tolist()]], pa.int64()), "links": pa.array(groups.links[at])})
 
     return verify

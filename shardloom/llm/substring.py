@@ -85,6 +85,7 @@ def seed_batches(k: int, w: int):
                 rows = kernels.row_of(bounds, at)
                 take = pa.array(rows + lo)
                 yield pa.RecordBatch.from_arrays([ids.take(take), keys.take(take), pa.array((at - bounds[rows]).astype(np.int32)), pa.array(g.view(np.int64))], names=["doc_id", "k", "at", "anchor"])
+            kernels.release()
 
     return run
 

@@ -12,7 +12,11 @@ streams each into shards of about ``SHARD_BYTES``; only filter and index stay in
 memory.  The result has one row for each section; sections of a shard in order of
 ``seq`` make up the file.
 
-Defined results: a null identifier has the smallest key and can be looked up;
+``write_files`` stores the shards as files, and ``Shards`` looks keys up in them.
+
+Defined results: integers are ordered by value, identifiers of any other type by
+the bytes of their text; rows of equal keys lie together, ordered by their values;
+a null identifier has the smallest key and can be looked up;
 rows that repeat an identifier are all stored, and a lookup gives them all; null
 columns, empty and very long texts are stored as they are; an empty table gives
 no shards; all other columns go into the value as JSON under their own names.
@@ -20,9 +24,11 @@ no shards; all other columns go into the value as JSON under their own names.
 
 from __future__ import annotations
 
+import bisect
 import json
 import struct
 import sys
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,8 @@ import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from .common import columns, kind_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAGIC = b"SSTSHRD1"
 BLOCK_BYTES = 32 << 10
@@ -70,6 +78,13 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    """How many bytes two keys begin with together: the place of the first difference, by one comparison of numbers."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
 class Builder:
     """Takes entries in order of their keys; ``add`` and ``finish`` give the sections that are complete."""
 
@@ -87,9 +102,7 @@ class Builder:
 
     def add(self, key: bytes, value: bytes):
         if self.count % RESTART:
-            shared, limit = 0, min(len(key), len(self.last))
-            while shared < limit and key[shared] == self.last[shared]:
-                shared += 1
+            shared = common_prefix(key, self.last)
         else:
             shared = 0
             self.restarts.append(len(self.block))
@@ -134,32 +147,39 @@ class Builder:
 
 
 class Reader:
-    """Looks keys up in a shard's bytes."""
+    """Looks keys up in a shard: its bytes, or an open file (with ``size`` and ``read_at``), of which only footer, filter, index and single blocks are read."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
         self.data = data
-        self.filter_at, self.filter_size, at, size, self.entries, magic = struct.unpack(FOOTER, data[-struct.calcsize(FOOTER) :])
+        size = len(data) if isinstance(data, (bytes, memoryview)) else data.size()
+        foot = struct.calcsize(FOOTER)
+        filter_at, filter_size, index_at, index_size, self.entries, magic = struct.unpack(FOOTER, self.fetch(size - foot, size)) if size >= foot else (0,) * 6
         if magic != MAGIC:
             raise ValueError("not a sorted-string-table shard")
-        self.keys, self.blocks, end = [], [], at + size
-        while at < end:
-            n, at = read_varint(data, at)
-            self.keys.append(data[at : at + n])
-            where, at = read_varint(data, at + n)
-            length, at = read_varint(data, at)
+        self.filter, index = self.fetch(filter_at, filter_at + filter_size), self.fetch(index_at, index_at + index_size)
+        self.keys, self.blocks, at = [], [], 0
+        while at < index_size:
+            n, at = read_varint(index, at)
+            self.keys.append(index[at : at + n])
+            where, at = read_varint(index, at + n)
+            length, at = read_varint(index, at)
             self.blocks.append((where, length))
 
+    def fetch(self, begin: int, end: int) -> bytes:
+        return bytes(self.data[begin:end]) if isinstance(self.data, (bytes, memoryview)) else self.data.read_at(end - begin, begin)
+
     def may_contain(self, key: bytes) -> bool:
-        h, bits = xxhash.xxh64_intdigest(key), self.filter_size * 8
+        h, bits = xxhash.xxh64_intdigest(key), len(self.filter) * 8
         for probe in range(PROBES):
             slot = ((h + probe * ((h >> 17) | 1)) & 0xFFFFFFFFFFFFFFFF) % bits
-            if not self.data[self.filter_at + (slot >> 3)] >> (7 - (slot & 7)) & 1:
+            if not self.filter[slot >> 3] >> (7 - (slot & 7)) & 1:
                 return False
         return True
 
     def block(self, number: int) -> tuple[bytes, list[int], int]:
         where, size = self.blocks[number]
-        packed, (check,) = self.data[where : where + size - 8], struct.unpack("<Q", self.data[where + size - 8 : where + size])
+        packed = self.fetch(where, where + size)
+        packed, (check,) = packed[:-8], struct.unpack("<Q", packed[-8:])
         if xxhash.xxh64_intdigest(packed) != check:
             raise ValueError(f"block {number} is damaged")
         body = zstandard.ZstdDecompressor().decompress(packed)
@@ -188,8 +208,6 @@ class Reader:
 
     def get(self, value) -> list[dict]:
         """The values stored under an identifier."""
-        import bisect
-
         key, found = key_of(value), []
         if not self.may_contain(key):
             return found
@@ -247,7 +265,64 @@ def to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def shards(docs: DataFrame, id_col: str = "doc_id", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(shard, seq, kind, first_key, last_key, entries, bytes): the sections of all shards, in key order over the shards."""
-    kind = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
-    value = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}).cast("binary")
-    rows = docs.select(F.col(id_col).cast(kind).alias("key"), value.alias("value"))
+    kind = "long" if kind_of(docs, id_col) in ("tinyint", "smallint", "int", "bigint") else "string"
+    value = F.to_json(F.struct(*columns(docs)), {"ignoreNullFields": "false"}).cast("binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast(kind).alias("key"), value.alias("value"))
     return rows.repartitionByRange("key").sortWithinPartitions("key", "value").mapInArrow(shard_writer(shard_bytes, block_bytes), SCHEMA)
+
+
+def file_batches(folder: str):
+    """Writes the sections of each shard to a file of its own, under another name until it is whole."""
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        filesystem, base = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        filesystem.create_dir(base, recursive=True)
+        stream = first = None
+        size = 0
+        for batch in batches:
+            for shard, kind, low, high, entries, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6))):
+                if stream is None:
+                    part = f"{base}/{uuid.uuid4().hex}.part"
+                    stream, first, size = filesystem.open_output_stream(part), low, 0
+                stream.write(data)
+                size += len(data)
+                if kind == "footer":
+                    stream.close()
+                    stream, path = None, f"{base}/{shard:016x}.sst"
+                    filesystem.move(part, path)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([path]), pa.array([first], pa.binary()), pa.array([high], pa.binary()), pa.array([entries]), pa.array([size])], names=["shard", "path", "first_key", "last_key", "entries", "size"])
+
+    return run
+
+
+def write_files(docs: DataFrame, folder: str, **options) -> DataFrame:
+    """The shards of docs as files of a folder that all executors share; their list (shard, path, first_key, last_key, entries, size) is stored beside them and returned."""
+    found = shards(docs, **options).mapInArrow(file_batches(folder), "shard long, path string, first_key binary, last_key binary, entries long, size long")
+    found.write.mode("overwrite").parquet(f"{folder}/list")
+    return docs.sparkSession.read.parquet(f"{folder}/list")
+
+
+class Shards:
+    """Looks keys up over all files of a folder: bisects their list, then reads one block of one file."""
+
+    def __init__(self, spark, folder: str):
+        import pyarrow.fs as pafs
+
+        self.filesystem, _ = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        rows = sorted((bytes(r.first_key), bytes(r.last_key), r.path) for r in spark.read.parquet(f"{folder}/list").toLocalIterator())  # one row for each 64 MB
+        self.firsts, self.lasts, self.paths = ([r[i] for r in rows] for i in range(3))
+        self.opened: dict[str, Reader] = {}
+
+    def get(self, value) -> list[dict]:
+        """The values stored under an identifier, in all shards that can have it."""
+        key, found = key_of(value), []
+        for at in range(bisect.bisect_left(self.lasts, key), len(self.paths)):
+            if self.firsts[at] > key:
+                break
+            path = self.paths[at]
+            if path not in self.opened:
+                self.opened[path] = Reader(self.filesystem.open_input_file(path))
+            found += self.opened[path].get(value)
+        return found

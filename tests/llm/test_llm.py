@@ -97,6 +97,26 @@ def test_sstable_lookup_and_order(spark):
     assert sum(r.may_contain(sstable.key_of(i)) for i in range(10_000, 11_000) for r in readers.values()) < 50 * len(readers)
 
 
+def test_sstable_files_and_lookup_over_all_of_them(spark, tmp_path):
+    rows = [(i * 7 % 1000, f"text {i} é") for i in range(1000)] + EDGE
+    listed = sstable.write_files(docs_of(spark, rows).repartition(4), str(tmp_path / "sst"), shard_bytes=20_000, block_bytes=1000).collect()
+    assert len(listed) > 1 and sum(r.entries for r in listed) == len(rows) and all((tmp_path / "sst" / r.path.rsplit("/", 1)[1]).stat().st_size == r.size for r in listed)
+    found = sstable.Shards(spark, str(tmp_path / "sst"))
+    for i in (0, 3, 4, 6, 500, 999, None):
+        assert sorted((v["text"] for v in found.get(i)), key=str) == sorted((t for j, t in rows if j == i), key=str)
+    assert found.get(5000) == [] and not list(tmp_path.glob("**/*.part"))
+    with pytest.raises(ValueError):
+        sstable.Reader(b"short")
+
+
+def test_common_prefix_of_keys():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (bytes(rng.integers(0, 2, rng.integers(0, 12)).tolist()) for _ in range(2))
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert sstable.common_prefix(a, b) == n
+
+
 # 3
 
 

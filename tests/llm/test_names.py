@@ -94,3 +94,20 @@ def test_fitted_classifier_on_edge_rows(spark):
     assert sum(kept[i] for i, _ in good) >= 57 and sum(kept[i] for i, _ in bad) <= 3 and not kept[21]
     stage = puquality.quality_stage(clashing(spark, rows), labels)
     assert Counter(r.doc_id for r in stage.collect()) == kept
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_edge_rows_and_on_none(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = clashing(spark, [*ROWS, (None, "a null identifier"), (None, "a null identifier")]).where(F.lit(not empty))
+    columns = docs.columns
+    for at, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(f"{tmp_path}/{at}")
+        docs = spark.read.parquet(f"{tmp_path}/{at}")
+        assert at == 4 or docs.columns == columns
+        if at == 2:
+            kept = Counter(r.text for r in docs.collect())
+            assert empty or (max(kept.values()) == 1 and {"a null identifier", LONG, "ties one"} <= set(kept) and None not in kept and "" not in kept)
+    rows = docs.collect()
+    assert not rows if empty else sum(r.length for r in rows) > 100_000

@@ -41,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ANCHOR_TOKENS = 10
 ANCHOR_SPREAD = 41
 MIN_TOKENS = ANCHOR_TOKENS + ANCHOR_SPREAD - 1
+HOT_PLACES = 100_000  # of an anchor; beyond, its windows are summed up instead of coming together
+RUNS = "doc_id long, k long, first int, windows int, shape long, away long"
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -136,6 +138,17 @@ def last_equal(anchor: np.ndarray, least: np.ndarray, starts: np.ndarray, w: int
     return found
 
 
+def shape_of(count: np.ndarray, names: np.ndarray, moved: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A name of a set of places that stays when all move on together.
+
+    names: the sum of the documents' names; moved: the same sum, each times its
+    start; first: the start of the first place.  All are sums or minima, so the
+    places of a set needn't come together.
+    """
+    with np.errstate(over="ignore"):
+        return kernels.mix(kernels.mix(names + count.astype(U64)) ^ (moved - names * first.astype(np.int64).view(U64)))
+
+
 def extend_places(group: pa.Table) -> pa.Table:
     """Runs of windows whose places all move on together: (doc_id, k, first window, windows, shape of the set of places, distance to its first place).
 
@@ -159,8 +172,9 @@ def extend_places(group: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])
     count = np.diff(np.r_[head, len(windows)])
     away = start - np.repeat(start[head], count)
-    place = kernels.mix(kernels.mix(kernels.mix(ids.view(U64)) + key.view(U64)) + away.view(U64))
-    shape = np.repeat(kernels.mix(np.add.reduceat(place, head) + count.astype(U64)), count)
+    name = kernels.mix(ids.view(U64) ^ key.view(U64))  # of the document
+    names, moved = np.add.reduceat(name, head), np.add.reduceat(name * start.view(U64), head)
+    shape = np.repeat(shape_of(count, names, moved, start[head]), count)
     many = np.repeat(count, count) > 1
     start, key, ids, away, shape = start[many], key[many], ids[many], away[many], shape[many]
     order = np.lexsort((start, key, ids))
@@ -171,13 +185,54 @@ def extend_places(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids[cut], mask=ids[cut] == none), "k": pa.array(key[cut], pa.int64()), "first": pa.array(start[cut], pa.int32()), "windows": pa.array(length, pa.int32()), "shape": pa.array(shape[cut].view(np.int64)), "away": pa.array(away[cut], pa.int64())})
 
 
+def window_rows(batches):
+    """(window, place) of every window of every row."""
+    for batch in batches:
+        offsets, raw = kernels.string_parts(batch.column(3))
+        count = np.diff(offsets) // 8
+        row = np.repeat(np.arange(len(count)), count)
+        start = batch.column(2).to_numpy().astype(np.int64)[row] + np.arange(len(row)) - (offsets[:-1] // 8)[row]
+        take = pa.array(row)
+        name = kernels.mix(batch.column(0).to_numpy().view(U64) ^ batch.column(1).to_numpy().view(U64))[row]
+        sums = [name, name * start.view(U64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(raw).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(start), *(pa.array(x.view(np.int64)) for x in sums)], names=["window", "doc_id", "k", "start", "name", "moved"])
+        kernels.release()
+
+
+def wrapped_halves(column: str) -> list:
+    """The low and high 32 bits of a number, whose sums can't overflow."""
+    return [F.sum(F.col(column).bitwiseAND((1 << 32) - 1)).alias(f"{column}_low"), F.sum(F.shiftrightunsigned(column, 32)).alias(f"{column}_high")]
+
+
+def shape_batches(batches):
+    """The runs of one window each, from rows with their window's sums."""
+    for batch in batches:
+        doc, k, start, count, first, *halves = (batch.column(i) for i in range(9))
+        names, moved = (low.to_numpy().astype(U64) + (high.to_numpy().astype(U64) << U64(32)) for low, high in (halves[:2], halves[2:]))
+        shape = shape_of(count.to_numpy(), names, moved, first.to_numpy())
+        away = start.to_numpy() - first.to_numpy()
+        yield pa.RecordBatch.from_arrays([doc, k, start.cast(pa.int32()), pa.array(np.ones(len(doc), np.int32)), pa.array(shape.view(np.int64)), pa.array(away)], names=["doc_id", "k", "first", "windows", "shape", "away"])
+
+
+def hot_runs(windows: DataFrame) -> DataFrame:
+    """What extend_places gives, for anchors with very many places: sums for each window, joined back, and no group in one task."""
+    rows = windows.select("doc_id", "k", "start", "windows").mapInArrow(window_rows, "window long, doc_id long, k long, start long, name long, moved long").distinct()
+    first = F.min(F.struct("doc_id", "k", "start")).alias("head")
+    told = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), first, *wrapped_halves("name"), *wrapped_halves("moved")).where("n > 1")
+    both = rows.select("window", "doc_id", "k", "start").join(told, "window").select("doc_id", "k", "start", "n", "head.start", "name_low", "name_high", "moved_low", "moved_high")
+    both = both.toDF("doc_id", "k", "start", "n", "first", "name_low", "name_high", "moved_low", "moved_high")
+    return both.mapInArrow(shape_batches, RUNS)
+
+
 def shared_windows(rows: DataFrame, k: int, w: int) -> DataFrame:
-    """(anchor, doc_id, k, start, windows, bucket) around the anchors that lie in several places of rows(doc_id, k, text)."""
+    """(anchor, doc_id, k, start, windows, bucket, hot) around the anchors that lie in several places of rows(doc_id, k, text)."""
     seeds = rows.mapInArrow(seed_batches(k, w), "doc_id long, k long, at int, anchor long")
-    shared = limited(stored(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")))
-    places = seeds.join(shared, "anchor").groupBy(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k")).agg(F.collect_set("at").alias("seeds"))
+    shared = stored(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    places = seeds.join(limited(shared.select("anchor")), "anchor").groupBy(F.col("doc_id").alias("s_id"), F.col("k").alias("s_k")).agg(F.collect_set("at").alias("seeds"))
     texts = rows.join(places, (rows.k == places.s_k) & (rows.doc_id == places.s_id)).select("doc_id", "k", "text", "seeds")
     windows = texts.mapInArrow(window_batches(k, w), "anchor long, doc_id long, k long, start int, windows binary")
+    hot = shared.where(F.col("n") > HOT_PLACES).select("anchor", F.lit(True).alias("hot"))
+    windows = windows.withColumn("hot", F.lit(None).cast("boolean")) if hot.isEmpty() else windows.join(limited(hot), "anchor", "left")
     return windows.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(4 * partitions(rows.sparkSession))))
 
 
@@ -189,7 +244,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """
     key = row_key(id_col, text_col)
     rows = docs.where(F.length(f"`{text_col}`") >= k + w - 1).select(key["a"].alias("doc_id"), key["b"].alias("k"), F.lower(f"`{text_col}`").alias("text"))
-    runs = shared_windows(rows, k, w).groupBy("bucket").applyInArrow(extend_places, "doc_id long, k long, first int, windows int, shape long, away long")
+    windows = shared_windows(rows, k, w)
+    runs = windows.where("hot IS NULL").drop("hot").groupBy("bucket").applyInArrow(extend_places, RUNS)
+    runs = runs.unionByName(hot_runs(windows.where("hot")))
     # Runs from neighbouring anchors that touch and have the same places are one.
     document = Window.partitionBy("doc_id", "k").orderBy("first")
     before = lambda x: F.lag(x).over(document)

@@ -48,6 +48,18 @@ def test_each_passage_names_the_places_that_hold_it(spark):
     assert any({7000, 7001} == {i for i, _ in places} for _, places in got)
 
 
+def test_hot_anchors_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
+    one = fresh(150)
+    rows = [(i, " ".join(fresh(5) + one[: 60 + 3 * i] + fresh(4))) for i in range(20)] + [(100 + i, " ".join(one[40:120])) for i in range(3)] + [(200, " ".join(one + fresh(3) + one)), (201, " ".join(["same"] * 90))]
+    rows += [rows[3], rows[3], (None, rows[4][1])]
+    expected = brute_passages(rows)
+    for hot in (1, 5, 10**9):
+        monkeypatch.setattr(substring, "HOT_PLACES", hot)
+        assert given(substring.passages(docs_of(spark, rows))) == expected
+
+
 def test_the_query_names_all_places(spark):
     rows = [tuple(r) for r in table(spark, DATA, "documents").select("doc_id", "text").collect()]
     assert given(queries()["op9_substring"](spark, DATA)) == brute_passages(rows)

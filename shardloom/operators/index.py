@@ -32,13 +32,6 @@ def shard_index(files: DataFrame, segmented: bool, partition: str = "") -> DataF
     return running_offsets(counted, ["partition", "shard"]).select("shard_id", "partition", "shard", "n_samples", "global_offset")
 
 
-def file_index(files: DataFrame, shards: DataFrame) -> DataFrame:
-    """The files table: shard ids in place of names; an unknown speech duration is -1."""
-    return files.join(F.broadcast(shards.select("shard", "shard_id")) if small(shards) else shards.select("shard", "shard_id"), "shard").select(
-        F.col("file").alias("name"), "shard_id", "offset", "audio_duration", F.coalesce("speech_duration", F.lit(-1.0)).alias("speech_duration")
-    )
-
-
 def small(shards: DataFrame) -> bool:
     """Is the shards table small enough to broadcast?  Counted up to the bound only."""
     return shards.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS

@@ -167,7 +167,16 @@ def episodes(spark, d):
 
 @query(f"WITH {SHARDS_SQL} SELECT shard_id, n AS n_samples, go AS global_offset FROM shards")
 def shard_index(spark, d):
-    return shard_table(spark, d).select("shard_id", "n_samples", "global_offset")
+    found = ix.shard_index(files(spark, d).select(F.col("shard_id").alias("shard"), "n_segments"), segmented=True)
+    return found.select(F.col("shard").alias("shard_id"), "n_samples", "global_offset")
+
+
+@query("SELECT event_id, len(x)::INT AS n, round(list_sum(x), 6) AS total FROM (SELECT event_id, list_concat([value, value * 2], list_resize([]::DOUBLE[], (event_id % 3)::BIGINT, 0.0::DOUBLE)) AS x FROM events)")
+def pad_right(spark, d):
+    """Samples with zeros up to a length, summed and counted."""
+    padded = keys.pad_right(F.array(F.col("value"), F.col("value") * 2), 2 + F.col("event_id") % 3)
+    df = table(spark, d, "events").select("event_id", padded.alias("x"))
+    return df.select("event_id", F.size("x").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 @query(f"WITH {SHARDS_SQL} SELECT (SELECT count(*) FROM shards) AS n_shards, (SELECT sum(n) FROM shards)::BIGINT AS n_samples, count(*) AS n_files, sum(dur)::BIGINT AS audio_duration, sum(dur)::BIGINT AS speech_duration FROM files")

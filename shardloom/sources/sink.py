@@ -10,7 +10,7 @@ import pyarrow.fs as pafs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from shardloom.errors import EmptyOutputError, KeyMismatchError
+from shardloom.errors import EmptyOutputError, KeyMismatchError, SchemaDriftError
 from shardloom.operators.shards import OFFSET, SHARD, misaligned_keys
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -90,6 +90,23 @@ def write_file(table: pa.Table, path: str, compression: str | None = "zstd", min
         raise
 
 
+def drifted(schema, folder: str, suffix: str) -> str | None:
+    """How the columns differ from those of a shard that the column group has; None if it has none or they are the same."""
+    import os
+
+    from shardloom.sources.catalog import read_schema
+    from shardloom.sources.types import spark_schema
+
+    names = sorted(e for e in os.listdir(folder) if e.endswith(suffix)) if "://" not in folder and os.path.isdir(folder) else []
+    there = next((x for x in (read_schema(f"{folder}/{n}") for n in names) if x is not None), None)
+    if there is None:
+        return None
+    old = {f.name: f.dataType.simpleString() for f in spark_schema(there)}
+    new = {f.name: f.dataType.simpleString() for f in schema}
+    wrong = [f"{c} is {new.get(c, 'missing')}, was {old.get(c, 'missing')}" for c in sorted({*old, *new}) if old.get(c) != new.get(c)]
+    return "; ".join(wrong) or None
+
+
 def reported(shard: str, file: ShardFile) -> pa.RecordBatch:
     size, batches = file.close()
     return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([file.target]), pa.array([file.rows]), pa.array([size]), pa.array([batches])], names=["shard", "path", "n_rows", "batch_size", "n_batches"])
@@ -102,7 +119,8 @@ def write_shards(
     """Write df (with shard and offset columns) as one file for each shard; a report of the files.
 
     ``sibling``: a column group of the same shards; every key must be at the same
-    place in both.  ``schema``: column types to cast to.
+    place in both.  ``schema``: column types to cast to.  Columns must be those of the
+    shards that the column group has already.
     """
     if sibling is not None:
         wrong = misaligned_keys(df, sibling, key).orderBy(SHARD, OFFSET).limit(5).collect()
@@ -111,6 +129,9 @@ def write_shards(
     if schema:
         df = df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in schema.items()})
 
+    drift = drifted(df.drop(SHARD, OFFSET).schema, f"{root}/{column_dir}", suffix)
+    if drift:
+        raise SchemaDriftError(f"{root}/{column_dir}: {drift}")
     at, columns = df.columns.index(SHARD), [c for c in df.columns if c not in (SHARD, OFFSET)]
 
     def write(batches):

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom.errors import EmptyOutputError, KeyMismatchError, ShardMissingError
+from shardloom.errors import EmptyOutputError, KeyMismatchError, SchemaDriftError, ShardMissingError
 from shardloom.functions import codecs, keys
 from shardloom.operators import index, links, validate
 from shardloom.operators.shards import OFFSET, SHARD
@@ -129,6 +129,25 @@ def test_a_shard_is_written_as_a_stream(spark, tmp_path):
     assert not list(tmp_path.glob("**/*.part"))
 
 
+def test_a_group_keeps_its_schema(spark, tmp_path):
+    row = lambda shard, x: spark.createDataFrame([(shard, 0, "k", x)], f"{SHARD} string, {OFFSET} long, __key__ string, x {'long' if isinstance(x, int) else 'string'}")
+    write_shards(row("a", 1), str(tmp_path), "one")
+    write_shards(row("b", 2), str(tmp_path), "one")
+    with pytest.raises(SchemaDriftError, match="x is string, was bigint"):
+        write_shards(row("c", "3"), str(tmp_path), "one")
+    assert write_shards(row("c", "3"), str(tmp_path), "one", schema={"x": "long"}).count() == 1
+
+
+def test_loaders_alternatives_and_field_maps(spark):
+    links.alias("other_name", "prefix")
+    assert links.REGISTRY.pop("other_name") is links.REGISTRY["prefix"]
+    df = spark.createDataFrame([(None, 2), (1, 3)], "a long, b long")
+    assert [r[0] for r in df.select(links.first_available(df, ["no", "a", "b"])).collect()] == [2, 1]
+    with pytest.raises(KeyError):
+        links.first_available(df, ["no"])
+    assert links.merge_field_maps([{"x": 1}, {"x": 2, "y": 3}]) == ({"x": 1, "y": 3}, [(1, "x", 2)])
+
+
 def test_collisions_links_and_computed_columns(spark, zipped):
     make(zipped, "three", {"a.b[1]": range(10)}, "x", lambda i: -i)
     data = Dataset(spark, str(zipped))

@@ -9,6 +9,9 @@ identifier stays, nulls last; rows with a null identifier, repeated rows, ties a
 very long texts go through all stages as the stages define; other columns are
 carried to the last stage, whatever their names; an empty table gives an empty
 result of the same schema.
+
+The stages that send texts to Python bound their batches by bytes, so that what an
+executor holds doesn't depend on how long the texts are.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import exact, jaccard, mixing, packing, puquality
-from shardloom.llm.common import table
+from shardloom.llm.common import bounded_batches, table
 from shardloom.shared import shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return puquality.quality_stage(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,6 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return jaccard.near_stage(docs)
 
 
@@ -37,6 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.shared import shared_folder, shared_path
 
+from . import kernels
+
 BROADCAST_ROWS = 1_000_000  # rows of a few numbers each, 50 MB at most; more are joined by a shuffle
 KEY_TYPE = "k struct<a: long, b: long>"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = kernels.CHUNK_BYTES * 7 // 8  # with its last row a batch is still one chunk, mostly
 
 
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
@@ -22,6 +26,15 @@ def limited(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of about BATCH_BYTES, from now on and in the whole session, unless it has a bound of its own.
+
+    Spark's 64 MB, or 10 000 rows, are held by the executor and by each of its workers, several times while they grow.
+    """
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,12 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple] = []
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int):
+    """What runs meanwhile sends rows to Python in batches of about ``most`` bytes, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_CONF, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_CONF, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_CONF)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir.  Only a local master, as in tests, may go without one and gets a folder of its own, removed at the end."""
     context = spark.sparkContext

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.errors import EmptyOutputError, KeyMismatchError, SchemaDriftError
 from shardloom.operators.shards import OFFSET, SHARD, misaligned_keys
+from shardloom.shared import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_BATCH_BYTES = 4 << 20
 MAX_BATCH_ROWS = 16384
+SENT_BYTES = 1 << 20  # Spark's batches of 64 MB or 10 000 rows would be held by each worker several times
 REPORT = "shard string, path string, n_rows long, batch_size long, n_batches long"
 
 
@@ -155,10 +157,11 @@ def write_shards(
                 file.abandon()
             raise
 
-    report = df.repartition(SHARD).sortWithinPartitions(SHARD, OFFSET).mapInArrow(write, REPORT).collect()
-    if not report and not allow_empty:
+    with small_batches(df.sparkSession, SENT_BYTES):
+        report = df.repartition(SHARD).sortWithinPartitions(SHARD, OFFSET).mapInArrow(write, REPORT).toArrow()
+    if not report.num_rows and not allow_empty:
         raise EmptyOutputError(f"no rows for {root}/{column_dir}")
-    return df.sparkSession.createDataFrame(report, REPORT)
+    return df.sparkSession.createDataFrame(report, REPORT)  # from Arrow: no executor starts Python for it
 
 
 def drop_columns(paths: DataFrame, columns: list[str], compression: str | None = "zstd") -> DataFrame:

@@ -10,6 +10,7 @@ from shardloom.functions import codecs, keys
 from shardloom.operators import index, links, validate
 from shardloom.operators.shards import OFFSET, SHARD
 from shardloom.plans.dataset import Dataset
+from shardloom.sources import sink
 from shardloom.sources.catalog import Catalog, object_path
 from shardloom.sources.sink import batch_size, drop_columns, write_file, write_shards
 
@@ -129,6 +130,36 @@ def test_a_shard_is_written_as_a_stream(spark, tmp_path):
     assert not list(tmp_path.glob("**/*.part"))
 
 
+def test_rows_come_to_the_sink_in_small_batches(spark, tmp_path, monkeypatch):
+    class Seen(sink.ShardFile):
+        most = 0
+
+        def add(self, rows):
+            self.most = max(self.most, rows.nbytes)
+            super().add(rows)
+
+    def reported(shard, file):
+        size, batches = file.close()
+        return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([str(file.most)]), pa.array([file.rows]), pa.array([size]), pa.array([batches])], names=["shard", "path", "n_rows", "batch_size", "n_batches"])
+
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(conf, None)
+    spark.conf.unset(conf)
+    monkeypatch.setattr(sink, "ShardFile", Seen)
+    monkeypatch.setattr(sink, "reported", reported)
+    df = spark.range(9000).select(F.concat(F.lit("s"), F.col("id") % 2).alias(SHARD), F.col("id").alias(OFFSET), F.col("id").cast("string").alias("__key__"), F.repeat(F.lit("ab"), 1000).alias("t"))
+    try:
+        report = write_shards(df, str(tmp_path), "one").collect()
+        assert sorted((r["shard"], r.n_rows) for r in report) == [("s0", 4500), ("s1", 4500)] and max(int(r.path) for r in report) < 2 << 20
+        assert spark.conf.get(conf, None) is None
+        spark.conf.set(conf, str(64 << 10))
+        assert max(int(r.path) for r in write_shards(df, str(tmp_path), "two").collect()) < 128 << 10 and spark.conf.get(conf) == str(64 << 10)
+    finally:
+        spark.conf.unset(conf)
+        if kept is not None:
+            spark.conf.set(conf, kept)
+
+
 def test_a_group_keeps_its_schema(spark, tmp_path):
     row = lambda shard, x: spark.createDataFrame([(shard, 0, "k", x)], f"{SHARD} string, {OFFSET} long, __key__ string, x {'long' if isinstance(x, int) else 'string'}")
     write_shards(row("a", 1), str(tmp_path), "one")

@@ -17,6 +17,7 @@ from shardloom.shared import small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_BATCH_BYTES = 4 << 20
 MAX_BATCH_ROWS = 16384
+HELD_BYTES = 32 << 20
 SENT_BYTES = 1 << 20  # Spark's batches of 64 MB or 10 000 rows would be held by each worker several times
 REPORT = "shard string, path string, n_rows long, batch_size long, n_batches long"
 
@@ -33,20 +34,32 @@ class ShardFile:
     """A shard written batch by batch under another name and moved into place at the end, so that a reader never sees part of one.
 
     The size of its batches is settled by the first rows, so only about one batch is held.
+    If later rows are so long that a batch would take more than ``HELD_BYTES``, the size is
+    halved as often as that needs; what was written before is cut to it at the end.
     """
 
     def __init__(self, path: str, compression: str | None = "zstd", min_bytes: int = MIN_BATCH_BYTES):
         self.filesystem, self.target = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
         self.filesystem.create_dir(self.target.rsplit("/", 1)[0], recursive=True)
-        self.part = f"{self.target}.{uuid.uuid4().hex}.part"
-        self.compression, self.min_bytes = compression, min_bytes
-        self.held, self.rows, self.size, self.batches, self.writer = [], 0, 0, 0, None
+        self.parts: list[str] = []
+        self.compression, self.min_bytes, self.bound = compression, min_bytes, max(HELD_BYTES, 4 * min_bytes)
+        self.held, self.rows, self.size, self.writer = [], 0, 0, None
 
     def add(self, rows: pa.Table) -> None:
         self.held.append(rows)
         self.rows += rows.num_rows
         if self.size or sum(t.num_rows for t in self.held) >= MAX_BATCH_ROWS or sum(t.nbytes for t in self.held) >= 2 * self.min_bytes:
             self.drain(False)
+            while sum(t.nbytes for t in self.held) > self.bound:
+                count = sum(t.num_rows for t in self.held)
+                self.size = min(self.size or MAX_BATCH_ROWS, 1 << count.bit_length() - 1)  # powers of two: whole batches stay whole when cut
+                self.drain(False)
+
+    def open(self, schema: pa.Schema) -> None:
+        self.schema = schema.with_metadata({**(schema.metadata or {}), b"batch_size": str(self.size).encode()})
+        self.parts.append(f"{self.target}.{uuid.uuid4().hex}.part")
+        self.stream = self.filesystem.open_output_stream(self.parts[-1])
+        self.writer, self.opened = pa.ipc.new_file(self.stream, self.schema, options=pa.ipc.IpcWriteOptions(compression=self.compression)), self.size
 
     def drain(self, last: bool) -> None:
         table = pa.concat_tables(self.held)
@@ -55,30 +68,42 @@ class ShardFile:
             if self.size >= table.num_rows and not last and self.size < MAX_BATCH_ROWS:
                 self.size = 0  # the rows so far don't settle it
                 return
-            self.schema = table.schema.with_metadata({**(table.schema.metadata or {}), b"batch_size": str(self.size).encode()})
-            self.stream = self.filesystem.open_output_stream(self.part)
-            self.writer = pa.ipc.new_file(self.stream, self.schema, options=pa.ipc.IpcWriteOptions(compression=self.compression))
+        if self.writer is None:
+            self.open(table.schema)
         whole = table.num_rows if last else table.num_rows // self.size * self.size
         if whole:
             done = table.slice(0, whole).combine_chunks().cast(self.schema)
             self.writer.write_table(done, max_chunksize=self.size)
-            self.batches += -(-whole // self.size)
         self.held = [table.slice(whole)]
 
+    def shut(self) -> None:
+        self.writer.close()
+        self.stream.close()
+
+    def cut(self) -> None:
+        """The part once more, in batches of the size that its last rows have."""
+        self.open(self.schema)
+        with self.filesystem.open_input_file(self.parts[-2]) as source, pa.ipc.open_file(source) as reader:
+            for number in range(reader.num_record_batches):
+                self.writer.write_table(pa.Table.from_batches([reader.get_batch(number)]).cast(self.schema), max_chunksize=self.size)
+        self.shut()
+        self.filesystem.delete_file(self.parts.pop(-2))
+
     def close(self) -> tuple[int, int]:
         """(batch size, batches)"""
         self.drain(True)
-        self.writer.close()
-        self.stream.close()
-        self.filesystem.move(self.part, self.target)
-        return self.size, self.batches
+        self.shut()
+        if self.opened != self.size:
+            self.cut()
+        self.filesystem.move(self.parts[-1], self.target)
+        return self.size, -(-self.rows // self.size)
 
     def abandon(self) -> None:
         if self.writer is not None:
-            self.writer.close()
-            self.stream.close()
-        if self.filesystem.get_file_info(self.part).type != pafs.FileType.NotFound:
-            self.filesystem.delete_file(self.part)
+            self.shut()
+        for part in self.parts:
+            if self.filesystem.get_file_info(part).type != pafs.FileType.NotFound:
+                self.filesystem.delete_file(part)
 
 
 def write_file(table: pa.Table, path: str, compression: str | None = "zstd", min_bytes: int = MIN_BATCH_BYTES) -> tuple[int, int]:

@@ -160,6 +160,22 @@ def test_rows_come_to_the_sink_in_small_batches(spark, tmp_path, monkeypatch):
             spark.conf.set(conf, kept)
 
 
+@pytest.mark.parametrize("short", [0, 5000, 16_384, 40_000])
+def test_long_rows_after_short_ones_are_not_held(tmp_path, short):
+    file, most = sink.ShardFile(f"{tmp_path}/one/s.shard"), 0
+    tables = [pa.table({"x": range(at, min(at + 1000, short)), "t": ["x"] * (min(at + 1000, short) - at)}) for at in range(0, short, 1000)]
+    tables += [pa.table({"x": range(at, at + 50), "t": [str(i) * 10_000 for i in range(at, at + 50)]}) for at in range(short, short + 2010, 50)]
+    for table in tables:
+        file.add(table)
+        most = max(most, sum(t.nbytes for t in file.held))
+    size, batches = file.close()
+    assert most <= 33 << 20 and os.listdir(tmp_path / "one") == ["s.shard"]
+    with pa.ipc.open_file(f"{tmp_path}/one/s.shard") as reader:
+        rows = [reader.get_batch(i).num_rows for i in range(reader.num_record_batches)]
+        assert set(rows[:-1]) == {size} and 0 < rows[-1] <= size and len(rows) == batches and int(reader.schema.metadata[b"batch_size"]) == size
+        assert reader.read_all().equals(pa.concat_tables(tables))
+
+
 def test_a_group_keeps_its_schema(spark, tmp_path):
     row = lambda shard, x: spark.createDataFrame([(shard, 0, "k", x)], f"{SHARD} string, {OFFSET} long, __key__ string, x {'long' if isinstance(x, int) else 'string'}")
     write_shards(row("a", 1), str(tmp_path), "one")
